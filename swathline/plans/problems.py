@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from swathline.functions import nulls
-from swathline.operators import spikes
+from swathline.operators import gapfill, spikes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,5 +32,41 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1_flags(spark, sf_dir).select("field", "rec_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_flags": p1_flags}
-SQL: dict[str, str] = {}
+def _grid_input(spark: SparkSession, sf_dir: str):
+    steps = table(spark, sf_dir, "cell_collections").select(F.col("collection_id").alias("c"), (F.col("grid_step_h").cast("bigint") * 3600).alias("step_s"))
+    obs = table(spark, sf_dir, "observations").select("collection_id", "location_id", "time", "surface_soil_moisture")
+    rows = obs.join(steps, F.col("collection_id") == F.col("c")).drop("c")
+    seconds = F.floor(_time() / 1_000_000).cast("bigint")
+    return rows, ["collection_id", "location_id"], seconds, F.col("step_s"), nulls.reading(F.col("surface_soil_moisture"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps without a usable reading between a source's first and last step."""
+    gaps = gapfill.missing_steps(*_grid_input(spark, sf_dir))
+    return gaps.select("collection_id", "location_id", (F.col("_step") * F.col("_w")).alias("step_start_s"))
+
+
+def p3_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The regular series with gaps filled linearly (rounded, as sums depend on their order)."""
+    s = gapfill.regular_series(*_grid_input(spark, sf_dir), fill="linear")
+    return s.select("collection_id", "location_id", "step_start_s", "n_readings", F.round("value", 4).alias("value"), F.round("filled", 4).alias("filled"), "missing")
+
+
+_STEPS = """
+WITH r AS (
+  SELECT o.collection_id, o.location_id, c.grid_step_h * 3600 AS w, floor(epoch_us(o.time) / 1000000)::BIGINT AS t, o.surface_soil_moisture::DOUBLE AS v
+  FROM observations o JOIN cell_collections c USING (collection_id)
+  WHERE o.location_id IS NOT NULL AND o.time IS NOT NULL AND o.time <> TIMESTAMP '1970-01-01' AND o.surface_soil_moisture IS NOT NULL
+    AND NOT isnan(o.surface_soil_moisture) AND abs(o.surface_soil_moisture) <= 1e37 AND o.surface_soil_moisture <> -999999),
+s AS (SELECT collection_id, location_id, w, floor(t / w)::BIGINT AS step, count(*) AS n, avg(v) AS v FROM r GROUP BY ALL),
+g AS (SELECT *, lead(step) OVER p AS nxt, lead(v) OVER p AS nv FROM s WINDOW p AS (PARTITION BY collection_id, location_id ORDER BY step)),
+m AS (SELECT collection_id, location_id, w, unnest(range(step + 1, nxt)) AS step, step AS a, nxt AS b, v AS va, nv AS vb FROM g WHERE nxt > step + 1)
+"""
+
+QUERIES = {"p1_found": p1_found, "p1_flags": p1_flags, "p3_found": p3_found, "p3_series": p3_series}
+SQL: dict[str, str] = {
+    "p3_found": _STEPS + "SELECT collection_id, location_id, step * w AS step_start_s FROM m",
+    "p3_series": _STEPS + """
+SELECT collection_id, location_id, step * w AS step_start_s, n AS n_readings, round(v, 4) AS value, round(v, 4) AS filled, false AS missing FROM s
+UNION ALL SELECT collection_id, location_id, step * w, 0, NULL, round(va + (vb - va) * ((step - a) / (b - a)), 4), true FROM m""",
+}
