@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from swathline.functions import nulls
-from swathline.operators import gapfill, spikes
+from swathline.operators import flatten, gapfill, spikes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,35 @@ def p3_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("collection_id", "location_id", "step_start_s", "n_readings", F.round("value", 4).alias("value"), F.round("filled", 4).alias("filled"), "missing")
 
 
+EPS_LEVELS = (
+    flatten.Level("lines", "MDR", {"utc_day": ("$.UTC_LINE_NODES.DAY", "bigint"), "utc_ms": ("$.UTC_LINE_NODES.MS", "bigint"), "abs_line_number": ("$.ABS_LINE_NUMBER", "bigint")}),
+    flatten.Level("nodes", "NODES", {"latitude": ("$.LATITUDE", "double"), "longitude": ("$.LONGITUDE", "double"), "soil_moisture": ("$.SOIL_MOISTURE.VALUE", "double"), "soil_moisture_error": ("$.SOIL_MOISTURE.ERROR", "double")}),
+    flatten.Level("beams", "BEAMS", {"beam": ("$.BEAM", "string"), "sigma0": ("$.SIGMA0", "double"), "kp": ("$.KP", "double"), "f_usable": ("$.FLAGS.F_USABLE", "int"), "f_land": ("$.FLAGS.F_LAND", "double")}),
+)
+
+
+def eps_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The flat tables of the nested products: records, lines, nodes, beams."""
+    v = F.col("_v")
+    header = lambda name: flatten.header_value(v, "MPHR", name)
+    root = {"product_type": F.coalesce(header("PRODUCT_TYPE"), F.lit("NONE")), "format_major_version": header("FORMAT_MAJOR_VERSION").try_cast("int"), "spacecraft_id": header("SPACECRAFT_ID")}
+    return flatten.flatten(table(spark, sf_dir, "eps_products"), "rec_id", flatten.body(F.col("raw")), EPS_LEVELS, root)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each beam object, by its ordinals."""
+    o = F.col("ordinals")
+    return eps_tables(spark, sf_dir)["beams"].select("rec_id", "product_type", o[1].alias("mdr_no"), o[2].alias("node_no"), o[3].alias("beam_no"))
+
+
+def _p4(name: str):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return eps_tables(spark, sf_dir)[name].drop("ordinals")
+
+    query.__doc__ = f"The flat table of {name}."
+    return query
+
+
 _STEPS = """
 WITH r AS (
   SELECT o.collection_id, o.location_id, c.grid_step_h * 3600 AS w, floor(epoch_us(o.time) / 1000000)::BIGINT AS t, o.surface_soil_moisture::DOUBLE AS v
@@ -63,7 +92,8 @@ g AS (SELECT *, lead(step) OVER p AS nxt, lead(v) OVER p AS nv FROM s WINDOW p A
 m AS (SELECT collection_id, location_id, w, unnest(range(step + 1, nxt)) AS step, step AS a, nxt AS b, v AS va, nv AS vb FROM g WHERE nxt > step + 1)
 """
 
-QUERIES = {"p1_found": p1_found, "p1_flags": p1_flags, "p3_found": p3_found, "p3_series": p3_series}
+QUERIES = {"p1_found": p1_found, "p1_flags": p1_flags, "p3_found": p3_found, "p3_series": p3_series,
+           "p4_found": p4_found, "p4_records": _p4("records"), "p4_lines": _p4("lines"), "p4_nodes": _p4("nodes"), "p4_beams": _p4("beams")}
 SQL: dict[str, str] = {
     "p3_found": _STEPS + "SELECT collection_id, location_id, step * w AS step_start_s FROM m",
     "p3_series": _STEPS + """
