@@ -65,3 +65,24 @@ def range_chunks(df: DataFrame, rows: int, keys: Sequence[str], order: Sequence[
     """
     n = max(2, -(-rows // chunk_rows))
     return cut(df.repartitionByRange(n, *keys, *order).sortWithinPartitions(*keys, *order).withColumn("_chunk", F.spark_partition_id()))
+
+
+def last_before(df: DataFrame, keys: Sequence[str], order: str, values: dict, shard_span: int = 4096) -> DataFrame:
+    """Add, for every name of ``values``, the last non-NULL value among the rows before this one in its group.
+
+    ``order`` is a whole number, unique in a group. Groups are cut at multiples of ``shard_span`` of it, so that
+    no task holds a whole group; the shards' last values are carried over by a scan of one row per shard.
+    """
+    from pyspark.sql import Window
+
+    rows = df.withColumn("_shard", F.floor(F.col(order) / shard_span).cast("bigint")).withColumns({f"_m_{n}": v for n, v in values.items()})
+    inside = Window.partitionBy(*keys, "_shard").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({f"_in_{n}": F.last(f"_m_{n}", ignorenulls=True).over(inside) for n in values})
+    ends = rows.groupBy(*keys, "_shard").agg(*[F.max_by(f"_m_{n}", F.when(F.col(f"_m_{n}").isNotNull(), F.col(order))).alias(f"_e_{n}") for n in values])
+    over = Window.partitionBy(*keys).orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_shard").alias("_k_shard"), *[F.last(f"_e_{n}", ignorenulls=True).over(over).alias(f"_c_{n}") for n in values])
+    same = F.col("_shard") == F.col("_k_shard")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    out = rows.join(ends, same, "left").withColumns({n: F.coalesce(f"_in_{n}", f"_c_{n}") for n in values})
+    return out.select(*df.columns, *values)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from swathline.functions import nulls
-from swathline.operators import flatten, gapfill, spikes
+from swathline.operators import drift, flatten, gapfill, nearby, spikes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,6 +81,43 @@ def _p4(name: str):
     return query
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of locations at most one kilometre apart."""
+    return nearby.within_distance(table(spark, sf_dir, "locations"), "location_id", "lat", "lon", 1000.0).select("location_id_a", "location_id_b")
+
+
+def p5_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5-degree cell that holds each location, the cells given as boxes."""
+    loc = table(spark, sf_dir, "locations")
+    west, south = F.floor(F.col("cell") / 36) * 5 - 180, F.pmod("cell", F.lit(36)) * 5 - 90
+    boxes = loc.select("cell").dropna().distinct().select("cell", south.alias("lat_min"), (south + 5).alias("lat_max"), west.alias("lon_min"), (west + 5).alias("lon_max"))
+    return nearby.containing_region(loc, "location_id", "lat", "lon", boxes, "cell")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each change of a field from one file of a stream to the next."""
+    return drift.schema_changes(table(spark, sf_dir, "l2_records"), "stream", "file_seq", "file_id", "payload", table(spark, sf_dir, "field_names"))
+
+
+def _tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drift.tagged_fields(table(spark, sf_dir, "l2_records"), ["file_id", "rec_no"], "payload", table(spark, sf_dir, "field_names"))
+
+
+def p6_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each field's alternative types with counts, and its canonical type."""
+    return drift.union_types(_tags(spark, sf_dir))
+
+
+def p6_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All records as one long table with typed branches and canonical conversions."""
+    return drift.typed_branches(_tags(spark, sf_dir), ["file_id", "rec_no"])
+
+
+def p6_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All records as one wide table under canonical names and types."""
+    return drift.consistent_table(_tags(spark, sf_dir), ["file_id", "rec_no"])
+
+
 _STEPS = """
 WITH r AS (
   SELECT o.collection_id, o.location_id, c.grid_step_h * 3600 AS w, floor(epoch_us(o.time) / 1000000)::BIGINT AS t, o.surface_soil_moisture::DOUBLE AS v
@@ -93,8 +130,20 @@ m AS (SELECT collection_id, location_id, w, unnest(range(step + 1, nxt)) AS step
 """
 
 QUERIES = {"p1_found": p1_found, "p1_flags": p1_flags, "p3_found": p3_found, "p3_series": p3_series,
-           "p4_found": p4_found, "p4_records": _p4("records"), "p4_lines": _p4("lines"), "p4_nodes": _p4("nodes"), "p4_beams": _p4("beams")}
+           "p4_found": p4_found, "p4_records": _p4("records"), "p4_lines": _p4("lines"), "p4_nodes": _p4("nodes"), "p4_beams": _p4("beams"),
+           "p5_found": p5_found, "p5_regions": p5_regions, "p6_found": p6_found, "p6_types": p6_types, "p6_branches": p6_branches, "p6_table": p6_table}
+_PLACES = """
+WITH p AS (SELECT DISTINCT location_id AS id, lat, lon FROM locations
+           WHERE location_id IS NOT NULL AND lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 360 AND NOT isnan(lat) AND NOT isnan(lon))
+"""
 SQL: dict[str, str] = {
+    "p5_found": _PLACES + """
+SELECT a.id AS location_id_a, b.id AS location_id_b FROM p a JOIN p b ON a.id < b.id AND abs(a.lat - b.lat) < 0.01
+WHERE 2 * 6371000 * asin(sqrt(least(1.0, sin(radians(b.lat - a.lat) / 2) ** 2 + cos(radians(a.lat)) * cos(radians(b.lat)) * sin(radians(b.lon - a.lon) / 2) ** 2))) <= 1000""",
+    "p5_regions": _PLACES + """
+, c AS (SELECT DISTINCT cell FROM locations WHERE cell IS NOT NULL),
+q AS (SELECT id, lat, CASE WHEN lon >= 180 THEN lon - 360 ELSE lon END AS lon FROM p)
+SELECT q.id AS location_id, c.cell FROM q JOIN c ON c.cell = (floor((q.lon + 180) / 5) * 36 + floor((q.lat + 90) / 5))::INT WHERE q.lat < 90""",
     "p3_found": _STEPS + "SELECT collection_id, location_id, step * w AS step_start_s FROM m",
     "p3_series": _STEPS + """
 SELECT collection_id, location_id, step * w AS step_start_s, n AS n_readings, round(v, 4) AS value, round(v, 4) AS filled, false AS missing FROM s
