@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from swathline.functions import nulls
-from swathline.operators import drift, flatten, gapfill, nearby, spikes
+from swathline.operators import compact, drift, flatten, gapfill, nearby, spikes
+from swathline.session import scratch_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -118,6 +119,25 @@ def p6_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.consistent_table(_tags(spark, sf_dir), ["file_id", "rec_no"])
 
 
+RECORD = "collection_id int, location_id bigint, time_s bigint, backscatter40 double, sm double, _order bigint"
+
+
+def p7_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The compacted records of the tiny files: landed as they are, compacted, read again."""
+    coll = table(spark, sf_dir, "cell_collections").select("collection_id", "fn_pattern", "sat").dropna().collect()  # ten rows at any scale
+    patterns = [(r["collection_id"], compact.pattern_regex(r["fn_pattern"], {"sat": r["sat"]})) for r in coll]
+    found = compact.parse_files(table(spark, sf_dir, "swath_files"), "file_name", "content", "file_id", patterns, "collection_id")
+    landed = compact.PartitionedTable(spark, scratch_path(spark, "swaths"), RECORD, "collection_id")
+    landed.append(found)
+    landed.compact(["location_id", "time_s"], "_order", min_files=0)
+    return landed.read()
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Collection, location and time of each record in the compacted files."""
+    return p7_records(spark, sf_dir).select("collection_id", "location_id", "time_s")
+
+
 _STEPS = """
 WITH r AS (
   SELECT o.collection_id, o.location_id, c.grid_step_h * 3600 AS w, floor(epoch_us(o.time) / 1000000)::BIGINT AS t, o.surface_soil_moisture::DOUBLE AS v
@@ -131,12 +151,21 @@ m AS (SELECT collection_id, location_id, w, unnest(range(step + 1, nxt)) AS step
 
 QUERIES = {"p1_found": p1_found, "p1_flags": p1_flags, "p3_found": p3_found, "p3_series": p3_series,
            "p4_found": p4_found, "p4_records": _p4("records"), "p4_lines": _p4("lines"), "p4_nodes": _p4("nodes"), "p4_beams": _p4("beams"),
-           "p5_found": p5_found, "p5_regions": p5_regions, "p6_found": p6_found, "p6_types": p6_types, "p6_branches": p6_branches, "p6_table": p6_table}
+           "p5_found": p5_found, "p5_regions": p5_regions, "p6_found": p6_found, "p6_types": p6_types, "p6_branches": p6_branches, "p6_table": p6_table, "p7_found": p7_found}
 _PLACES = """
 WITH p AS (SELECT DISTINCT location_id AS id, lat, lon FROM locations
            WHERE location_id IS NOT NULL AND lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 360 AND NOT isnan(lat) AND NOT isnan(lon))
 """
 SQL: dict[str, str] = {
+    "p7_found": r"""
+WITH c AS (SELECT collection_id, '^' || regexp_replace(regexp_replace(replace(replace(fn_pattern, '.', '[.]'), '{sat}', sat), '\{date\}', '[0-9]{14}', 'g'), '\{[a-z]+[0-9]*\}', '[^_]+', 'g') || '$' AS rx FROM cell_collections),
+l AS (SELECT c.collection_id, unnest(string_split_regex(f.content, '\r?\n')) AS line FROM swath_files f JOIN c ON regexp_matches(f.file_name, c.rx)),
+p AS (SELECT collection_id, string_split_regex(line, '[,;\t]') AS p FROM l),
+r AS (SELECT collection_id, p[1] AS loc, p[2] AS t FROM p WHERE len(p) = 4 AND regexp_matches(p[1], '^[0-9]+$'))
+SELECT DISTINCT collection_id, loc::BIGINT AS location_id,
+  CASE WHEN regexp_matches(t, '^[0-9]{14}$') THEN epoch(strptime(t, '%Y%m%d%H%M%S'))::BIGINT
+       WHEN regexp_matches(t, '^[0-9]+$') THEN t::BIGINT ELSE epoch(strptime(t, '%Y-%m-%dT%H:%M:%SZ'))::BIGINT END AS time_s
+FROM r WHERE regexp_matches(t, '^[0-9]+$') OR regexp_matches(t, '^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9:]{8}Z$')""",
     "p5_found": _PLACES + """
 SELECT a.id AS location_id_a, b.id AS location_id_b FROM p a JOIN p b ON a.id < b.id AND abs(a.lat - b.lat) < 0.01
 WHERE 2 * 6371000 * asin(sqrt(least(1.0, sin(radians(b.lat - a.lat) / 2) ** 2 + cos(radians(a.lat)) * cos(radians(b.lat)) * sin(radians(b.lon - a.lon) / 2) ** 2))) <= 1000""",
