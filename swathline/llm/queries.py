@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from swathline.functions import nulls
-from swathline.llm import dedupe
+from swathline.llm import dedupe, mixing, tokens
 from swathline.plans.problems import table
-from swathline.session import scratch_path
+from swathline.session import cut, scratch_path
 
 
 def p2_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,5 +28,26 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_decisions(spark, sf_dir).where(~F.col("accepted")).select(F.col("id").alias("obs_id"))
 
 
-QUERIES = {"p2_found": p2_found}
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of each document's text."""
+    return tokens.encode(table(spark, sf_dir, "documents"), ["doc_id"], "text")
+
+
+def _mix(spark: SparkSession, sf_dir: str):
+    targets = table(spark, sf_dir, "mix_targets")
+    lengths = cut(tokens.count_tokens(table(spark, sf_dir, "documents"), ["doc_id", "source"], "text"))
+    return mixing.mix(lengths, "doc_id", "source", "n_tokens", targets)[0], targets
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each used document with its length and how often it is used."""
+    return _mix(spark, sf_dir)[0]
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual share of each source."""
+    return mixing.report(*_mix(spark, sf_dir))
+
+
+QUERIES = {"p2_found": p2_found, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares}
 SQL: dict[str, str] = {}
