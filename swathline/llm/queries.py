@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from swathline.functions import nulls
-from swathline.llm import dedupe, mixing, tokens
+from swathline.llm import dedupe, mixing, stuffing, tokens
 from swathline.plans.problems import table
 from swathline.session import cut, scratch_path
 
@@ -49,5 +49,15 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(*_mix(spark, sf_dir))
 
 
-QUERIES = {"p2_found": p2_found, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares}
+def p10_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flagged pages with their words, stitched words, links and share."""
+    return stuffing.stuffed_pages(table(spark, sf_dir, "documents"), "doc_id", "text", "source")
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages made of stuffed keywords, tags, links or goods."""
+    return p10_pages(spark, sf_dir).select("doc_id")
+
+
+QUERIES = {"p2_found": p2_found, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_pages": p10_pages}
 SQL: dict[str, str] = {}
