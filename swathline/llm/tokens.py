@@ -21,6 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from swathline.session import spread
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how the vocabulary's texts are split (white space by its Unicode property).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -190,11 +192,11 @@ def _kept(df: DataFrame, keep: list[str]) -> str:
 
 def encode(df: DataFrame, keep: list[str], text: str, vocabulary: str = VOCABULARY) -> DataFrame:
     """The kept columns and ``ids`` (array<int>), one row for each row."""
-    rows = df.select(*keep, df[text].alias("_text"))
+    rows = spread(df.select(*keep, df[text].alias("_text")))
     return rows.mapInArrow(_encode(vocabulary, False), _kept(df, keep) + ", ids array<int>")
 
 
 def count_tokens(df: DataFrame, keep: list[str], text: str, vocabulary: str = VOCABULARY) -> DataFrame:
     """The kept columns and ``n_tokens``, one row for each row."""
-    rows = df.select(*keep, df[text].alias("_text"))
+    rows = spread(df.select(*keep, df[text].alias("_text")))
     return rows.mapInArrow(_encode(vocabulary, True), _kept(df, keep) + ", n_tokens bigint")
