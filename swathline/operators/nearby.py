@@ -35,20 +35,26 @@ def usable_degrees(c: Column, low: float, high: float) -> Column:
     return F.when(~F.isnan(d) & d.between(low, high), d)
 
 
+def _spread(c: Column, gap: int, group: int, groups: int) -> Column:
+    """The bits of ``c`` with ``gap`` zero bits after each, by a table for every ``group`` bits."""
+    spread = [sum((v >> b & 1) << b * (gap + 1) for b in range(group)) for v in range(1 << group)]
+    table = F.array(*[F.lit(v).cast("bigint") for v in spread])
+    out = None
+    for i in range(groups):
+        part = F.shiftright(c, i * group).bitwiseAND(F.lit((1 << group) - 1)).cast("int")
+        part = F.shiftleft(F.get(table, part), i * group * (gap + 1))
+        out = part if out is None else out.bitwiseOR(part)
+    return out
+
+
 def _spread3(c: Column) -> Column:
     """The low 21 bits with two zero bits after each."""
-    x = c.cast("bigint")
-    for shift, mask in ((32, 0x1F00000000FFFF), (16, 0x1F0000FF0000FF), (8, 0x100F00F00F00F00F), (4, 0x10C30C30C30C30C3), (2, 0x1249249249249249)):
-        x = x.bitwiseOR(F.shiftleft(x, shift)).bitwiseAND(F.lit(mask))
-    return x
+    return _spread(c.cast("bigint"), 2, 7, 3)
 
 
 def _spread2(c: Column) -> Column:
-    """The low 31 bits with a zero bit after each."""
-    x = c.cast("bigint")
-    for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
-        x = x.bitwiseOR(F.shiftleft(x, shift)).bitwiseAND(F.lit(mask))
-    return x
+    """The low 28 bits with a zero bit after each."""
+    return _spread(c.cast("bigint"), 1, 7, 4)
 
 
 def morton3(x: Column, y: Column, z: Column) -> Column:

@@ -66,3 +66,9 @@ def cut(df: DataFrame) -> DataFrame:
 def partitions_for(spark: SparkSession, rows: int, rows_per_partition: int) -> int:
     """At least the session's shuffle partitions, more once partitions would outgrow their size."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // rows_per_partition))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Over all cores, where an input of few files would keep some idle; larger inputs stay where they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
