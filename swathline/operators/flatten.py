@@ -96,7 +96,7 @@ def label_nodes(df: DataFrame, record: str, value: Column, max_depth: int = 8) -
         kind = F.schema_of_variant("_v")
         nested = kind.startswith("OBJECT") | kind.startswith("ARRAY")
         kind = F.regexp_extract(kind, "^[A-Z]+", 0)
-        text = F.when(~nested | (F.lit(depth) == max_depth), F.coalesce(F.try_variant_get("_v", "$", "string"), F.to_json("_v")))
+        text = F.when(~nested | (F.lit(depth) == max_depth), F.coalesce(F.try_variant_get("_v", "$", "string"), F.when(~F.is_variant_null("_v"), F.to_json("_v"))))
         levels.append(at.select(record, "dewey", "parent", "path", kind.alias("kind"), text.alias("value")))
         if depth < max_depth:
             at.createOrReplaceTempView("_swathline_nodes")
