@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 
 #: Documents of one (source, length) that a task ranks.
 PART_ROWS = 50_000
+#: Tokens up to which the knapsack's reach is widened where a budget is not met to the token.
+MAX_REACH = 1 << 24
 
 
 @dataclass
@@ -75,12 +77,27 @@ def fit(counts: dict[int, int], budget: int) -> tuple[dict[int, int], int]:
     whole = int((lengths * n).sum())
     if budget >= whole:
         return dict(zip(lengths.tolist(), n.tolist(), strict=True)), whole
-    # Leave a few of each length to the knapsack: about four of the longest, and one of each.
-    reserve = min(budget, 4 * int(lengths[-1]) + int(lengths.sum()))
+    longest = int(lengths[-1])
+    best: tuple[np.ndarray, int] | None = None
+    reach = 2 * longest + 64
+    while True:
+        take, got = _fit(lengths, n, whole, budget, reach)
+        if best is None or abs(got - budget) < abs(best[1] - budget):
+            best = take, got
+        if best[1] == budget or reach >= budget or reach >= MAX_REACH:
+            break
+        reach *= 8
+    take, got = best
+    return {int(k): int(c) for k, c in zip(lengths, take, strict=True) if c}, got
+
+
+def _fit(lengths: np.ndarray, n: np.ndarray, whole: int, budget: int, reach: int) -> tuple[np.ndarray, int]:
+    """One attempt: an equal share of every length, then a knapsack over sums up to about ``reach``."""
+    longest = int(lengths[-1])
+    reserve = min(budget, reach + 2 * longest + int(lengths.sum()))
     take = np.floor(n * ((budget - reserve) / whole)).astype(np.int64)
     rest = budget - int((take * lengths).sum())
-    # Greedily down to the reach of the knapsack, from the longest, at most half of what is left of each length.
-    reach = 2 * int(lengths[-1]) + 64
+    # Down to the reach of the knapsack, from the longest, at first at most half of what is left of each length.
     for half in (2, 1):
         for i in range(len(lengths) - 1, -1, -1):
             if rest <= reach:
@@ -89,7 +106,7 @@ def fit(counts: dict[int, int], budget: int) -> tuple[dict[int, int], int]:
             take[i] += max(0, k)
             rest -= max(0, k) * int(lengths[i])
     # Bounded knapsack: bit b of ``can`` says that b tokens can be reached; counts by powers of two.
-    limit = rest + int(lengths[-1])
+    limit = rest + longest
     mask = (1 << (limit + 1)) - 1
     stages: list[tuple[int, int, int]] = []
     can = 1
@@ -98,7 +115,10 @@ def fit(counts: dict[int, int], budget: int) -> tuple[dict[int, int], int]:
         while free > 0 and not can >> rest & 1:
             k = min(power, free)
             if k * int(lengths[i]) > limit:
-                break
+                k = limit // int(lengths[i])
+                free = min(free, k)
+                if k == 0:
+                    break
             stages.append((i, k, can))
             can |= can << (k * int(lengths[i])) & mask
             free -= k
@@ -114,8 +134,7 @@ def fit(counts: dict[int, int], budget: int) -> tuple[dict[int, int], int]:
         if not before >> at & 1:
             take[i] += k
             at -= k * int(lengths[i])
-    got = {int(k): int(c) for k, c in zip(lengths, take, strict=True) if c}
-    return got, int((take * lengths).sum())
+    return take, int((take * lengths).sum())
 
 
 def plans(counts: dict[str, dict[int, int]], share: dict[str, float], repeats: dict[str, int], total: int | None = None) -> list[Plan]:
