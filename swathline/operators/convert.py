@@ -48,14 +48,19 @@ def indexed_to_point(obs: DataFrame, loc: DataFrame) -> DataFrame:
     return obs.join(right, F.col("location_index") == F.col("_i")).drop("_i", "location_index")
 
 
-def to_contiguous(df: DataFrame, key: str, fields: Sequence[str], sort: Sequence[str], instance_vars: Sequence[str] = ()) -> DataFrame:
-    """One row per instance: ``series`` (structs in order of ``sort``, then of all fields) and ``row_size``."""
+def to_contiguous(df: DataFrame, key: str, fields: Sequence[str], sort: Sequence[str], instance_vars: Sequence[str] = (), part: Column | None = None) -> DataFrame:
+    """One row per instance: ``series`` (structs in order of ``sort``, then of all fields) and ``row_size``.
+
+    The form has an instance's series in one array. Where instances can outgrow a row, ``part`` (an expression
+    that rises with ``sort``, such as the month) cuts them: a row per instance and part, in column ``part``.
+    """
     head = [*sort, *[f for f in fields if f not in sort]]
     aggs = [F.array_sort(F.collect_list(F.struct(*head))).alias("series"), F.count(F.lit(1)).alias("row_size")]
     if instance_vars:
         aggs.append(F.min_by(F.struct(*instance_vars), F.struct(*head)).alias("_i"))
-    out = df.groupBy(key).agg(*aggs)
-    return out.select(key, *[F.col(f"_i.{v}").alias(v) for v in instance_vars], "series", "row_size")
+    parts = [part.alias("part")] if part is not None else []
+    out = df.groupBy(key, *parts).agg(*aggs)
+    return out.select(key, *(["part"] if parts else []), *[F.col(f"_i.{v}").alias(v) for v in instance_vars], "series", "row_size")
 
 
 def indexed_to_contiguous(obs: DataFrame, loc: DataFrame, fields: Sequence[str], sort: Sequence[str]) -> DataFrame:
@@ -101,16 +106,17 @@ def incomplete_to_contiguous(df: DataFrame, fields: Sequence[str], missing) -> D
     return out.withColumn("row_size", F.size("series").cast("bigint"))
 
 
-def to_orthogonal(df: DataFrame, key: str, element: str, fields: Sequence[str], tie: Sequence[str] = (), strict: bool = True, max_cells: int = 10**10) -> DataFrame:
+def to_orthogonal(df: DataFrame, key: str, element: str, fields: Sequence[str], tie: Sequence[str] = (), strict: bool = True, max_cells: int = 10**10, max_elements: int = 10**6) -> DataFrame:
     """Every instance with every element (long form); several observations of one cell: the last by ``tie``.
 
     ``strict``: raises ValueError unless each cell has exactly one observation. The dense form has instances
-    times elements rows; more than ``max_cells`` are refused rather than attempted.
+    times elements rows; more than ``max_cells``, or an axis of more than ``max_elements`` (which is sent to all
+    executors), are refused rather than attempted.
     """
     one = df.groupBy(key, element).agg(F.max_by(F.struct(*fields), F.struct(*(tie or fields))).alias("_v"), F.count(F.lit(1)).alias("_n"))
     ids, elements = one.select(key).distinct(), one.select(element).distinct()
     n_ids, n_elements = ids.count(), elements.count()
-    if n_ids * n_elements > max_cells:
+    if n_ids * n_elements > max_cells or n_elements > max_elements:
         raise ValueError(f"{n_ids} x {n_elements} cells are more than {max_cells}")
     if strict:
         n, least = one.agg(F.count(F.lit(1)), F.max("_n")).first()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from swathline.functions.scalars import cell_number
 from swathline.operators.nearby import cube_edge, morton3, sphere
+from swathline.operators.sharding import last_before
 from swathline.session import cut
 
 #: Radius in metres of the sphere that neighbour searches use.
@@ -141,28 +142,22 @@ def resample_values(targets: DataFrame, target: str, rows: DataFrame, methods: M
 def nearest_in_time(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, value: str, max_us: int | None = None, slot_us: int = 86_400_000_000) -> DataFrame:
     """Each left row with the right row of its key nearest in time (the earlier one on ties): ``matched_time``, ``value``.
 
-    Right rows are reduced to the last and first of each time slot boundary as far as they matter: a left row
-    looks into its own slot and, through carried states, at the nearest filled slots on both sides, so no task
-    holds a whole key.
+    Right rows of one time are one (the smallest value). Both sides become one series per key, in which the last
+    right row before and the first one after each left row come from sharded scans: no pairs are made, and no
+    task holds a whole key. Left rows without key or time, or without a partner, have NULL.
     """
     us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    r = right.select(F.col(key).alias("_k"), us(right_time).alias("_rt"), F.col(value).alias("_rv")).dropna(subset=["_k", "_rt"])
-    lft = left.withColumn("_lt", us(left_time)).withColumn("_slot", F.floor(F.col("_lt") / slot_us).cast("bigint"))
-    point = F.struct("_rt", "_rv")
-    shard = r.withColumn("_rs", F.floor(F.col("_rt") / slot_us).cast("bigint")).groupBy("_k", "_rs").agg(
-        F.array_sort(F.collect_list(point)).alias("_in"), F.max(F.struct("_rt", (-F.col("_rv")).alias("_rv"))).alias("_top"), F.min(point).alias("_begin"))
-    shard = shard.withColumn("_end", F.when(F.col("_top").isNotNull(), F.struct(F.col("_top._rt").alias("_rt"), (-F.col("_top._rv")).alias("_rv")))).drop("_top")
-    slots = shard.select("_k", F.col("_rs").alias("_s")).unionByName(lft.select(F.col(key).alias("_k"), F.col("_slot").alias("_s"))).dropna().distinct()
-    full = slots.join(shard.withColumnsRenamed({"_k": "_k2"}), (F.col("_k") == F.col("_k2")) & (F.col("_s") == F.col("_rs")), "left").drop("_k2", "_rs")
-    w = Window.partitionBy("_k").orderBy("_s")
-    full = full.withColumn("_before", F.last("_end", True).over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("_after", F.first("_begin", True).over(w.rowsBetween(1, Window.unboundedFollowing)))
-    around = F.concat(F.array_compact(F.array("_before")), F.coalesce("_in", F.array().cast("array<struct<_rt:bigint,_rv:double>>")), F.array_compact(F.array("_after")))
-    full = full.select("_k", "_s", around.alias("_around"))
-    joined = lft.join(full, (F.col(key) == F.col("_k")) & (F.col("_slot") == F.col("_s")), "left")
-    best = F.array_min(F.transform("_around", lambda p: F.struct(F.abs(p["_rt"] - F.col("_lt")).alias("d"), p["_rt"].alias("t"), p["_rv"].alias("v"))))
-    out = joined.withColumn("_b", best)
-    keep = F.lit(True) if max_us is None else F.col("_b.d") <= max_us
-    return out.select(*left.columns, F.when(keep, F.timestamp_micros(F.col("_b.t")).cast("timestamp_ntz")).alias("matched_time"), F.when(keep, F.col("_b.v")).alias(value if value not in left.columns else f"matched_{value}"))
+    r = right.select(F.col(key).alias("_k"), us(right_time).alias("_t"), F.col(value).alias("_v")).dropna(subset=["_k", "_t"]).groupBy("_k", "_t").agg(F.min("_v").alias("_v"))
+    lft = left.select(F.col(key).alias("_k"), us(left_time).alias("_t"), F.struct(*left.columns).alias("_row"))
+    both = lft.unionByName(r.withColumn("_is", F.lit(0)), allowMissingColumns=True).withColumn("_is", F.coalesce("_is", F.lit(1)))
+    mark = F.when(F.col("_is") == 0, F.struct(F.col("_t").alias("t"), F.col("_v").alias("v")))
+    both = last_before(both.withColumn("_o", F.col("_t") * 2 + F.col("_is")), ["_k"], "_o", {"_b": mark}, 2 * slot_us)
+    both = last_before(both.withColumn("_o", F.col("_is") - F.col("_t") * 2), ["_k"], "_o", {"_a": mark}, 2 * slot_us)
+    near = F.array_min(F.transform(F.array_compact(F.array("_b", "_a")), lambda p: F.struct(F.abs(p["t"] - F.col("_t")).alias("d"), p["t"].alias("t"), p["v"].alias("v"))))
+    out = both.where("_is = 1").withColumn("_n", near)
+    keep = F.lit(True) if max_us is None else F.col("_n.d") <= max_us
+    name = value if value not in left.columns else f"matched_{value}"
+    return out.select("_row.*", F.when(keep, F.timestamp_micros(F.col("_n.t")).cast("timestamp_ntz")).alias("matched_time"), F.when(keep, F.col("_n.v")).alias(name))
 
 
 def with_static(df: DataFrame, static: DataFrame, keys: Mapping[str, Column]) -> DataFrame:
