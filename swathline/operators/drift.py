@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from swathline.operators.sharding import last_before
+from swathline.session import cut
 
 #: Tags from narrow to wide.
 KINDS = ("boolean", "integer", "decimal", "text")
@@ -65,10 +66,11 @@ def schema_changes(df: DataFrame, stream: str, seq: str, file: str, payload: str
     """file id, field, change (added, removed, renamed, retyped) against the file before in the stream."""
     base = df.where(F.col(stream).isNotNull() & F.col(seq).isNotNull())
     files = base.groupBy(F.col(stream).alias("stream"), F.col(seq).cast("bigint").alias("seq")).agg(F.min(file).alias("file"))
-    files = last_before(files, ["stream"], "seq", {"prev": F.col("seq")}, shard_span)
+    files = cut(last_before(files, ["stream"], "seq", {"prev": F.col("seq")}, shard_span))
     tags = tagged_fields(base.withColumns({"_st": F.col(stream), "_sq": F.col(seq).cast("bigint")}), ["_st", "_sq"], payload, names)
     fields = tags.groupBy("_st", "_sq", "field").agg(F.array_sort(F.collect_set("name")).alias("names"), F.collect_set("kind").alias("kinds"))
-    fields = fields.select(F.col("_st").alias("stream"), F.col("_sq").alias("seq"), "field", "names", _fused(F.col("kinds")).alias("kind"))
+    # Payloads are read once; a row per file and field is used four times below.
+    fields = cut(fields.select(F.col("_st").alias("stream"), F.col("_sq").alias("seq"), "field", "names", _fused(F.col("kinds")).alias("kind")))
     links = files.select(F.col("stream").alias("f_stream"), F.col("seq").alias("f_seq"), "file", "prev")
     now = fields.join(links, (F.col("stream") == F.col("f_stream")) & (F.col("seq") == F.col("f_seq"))).drop("f_stream", "f_seq")
     was = fields.select(F.col("stream").alias("p_stream"), F.col("seq").alias("p_seq"), F.col("field").alias("p_field"), F.col("names").alias("p_names"))
