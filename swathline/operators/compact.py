@@ -63,7 +63,7 @@ def parse_files(files: DataFrame, name: str, content: str, order: str, patterns:
     number = lambda i: F.when(~F.isnan(field(i).try_cast("double")), field(i).try_cast("double"))
     rows = rows.select(
         partition, F.when(field(0).rlike("^[0-9]{1,18}$"), field(0).try_cast("bigint")).alias("location_id"), seconds.alias("time_s"),
-        number(2).alias("backscatter40"), number(3).alias("sm"), (F.col("_file") * (1 << 24) + F.col("_line")).alias("_order"))
+        number(2).alias("backscatter40"), number(3).alias("sm"), F.coalesce(F.try_add(F.try_multiply(F.col("_file"), F.lit(1 << 24)), F.col("_line")), F.col("_file")).alias("_order"))
     return rows.where(F.col("location_id").isNotNull() & F.col("time_s").isNotNull())
 
 

@@ -19,6 +19,7 @@ of the input are ignored.
 
 from __future__ import annotations
 
+import json
 import pickle
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -274,7 +275,7 @@ def _borders(keys: Sequence[str], fields: Sequence[tuple[str, float, float]]):
                     d = np.abs(v[lag:] - v[:-lag])
                     bins = np.where(d > 0, np.floor(np.log(np.maximum(d, _BIN0) / _BIN0) / _BIN), -1).astype(np.int64)
                     for u, c in zip(*np.unique(bins, return_counts=True), strict=True):
-                        hist.append((repr(key), i, lag, int(u), int(c)))
+                        hist.append((json.dumps(key), i, lag, int(u), int(c)))
             summary.append((key, per))
         yield pd.DataFrame({"kind": [0], "chunk": [chunk], "src": [""], "fld": [0], "lag": [0], "bin": [0], "n": [0], "body": [pickle.dumps(summary)]})
         if hist:
@@ -393,7 +394,7 @@ def _merged_stats(hist: DataFrame) -> dict:
         if lag == 1:
             one = every[(src, fld, 1)] or moving.get((src, fld, 1), 0.0)
             two = every.get((src, fld, 2), 0.0)
-            out[(eval(src, {"__builtins__": {}}), fld)] = (one, float(_coefficient(np.array([one]), np.array([two]))[0]) if one else 0.0)  # noqa: S307
+            out[(tuple(json.loads(src)), fld)] = (one, float(_coefficient(np.array([one]), np.array([two]))[0]) if one else 0.0)
     return out
 
 
