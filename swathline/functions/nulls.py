@@ -38,9 +38,14 @@ def height(c: Column) -> Column:
     return F.when(~F.isnan(d) & (d < HEIGHT_CODE) & (d > OLD_CELL_FLOOR), d)
 
 
+def EPOCH() -> Column:
+    """The time that codes "missing"."""
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+
+
 def instant(c: Column) -> Column:
     """A time, where the epoch itself codes "missing"."""
-    return F.when(c != F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), c)
+    return F.when(c != EPOCH(), c)
 
 
 def micros(c: Column) -> Column:

@@ -34,12 +34,11 @@ og AS (SELECT o.*, g.lat, g.lon FROM o JOIN g ON location_id = gpi)
 def obs(spark: SparkSession, d: str) -> DataFrame:
     """Canonical observations: usable time and place, every missing code NULL."""
     r = lambda c: nulls.reading(F.col(c))
-    df = table(spark, d, "observations").select(
-        "obs_id", "batch_id", "collection_id", "location_id", "cell", nulls.instant(F.col("time")).alias("time"), "sat_id", F.col("as_des_pass").cast("int").alias("pass"), "proc_flag1",
+    df = table(spark, d, "observations").where(F.col("location_id").isNotNull() & (F.col("time") != nulls.EPOCH()))
+    # Columns that are filtered on stay as stored, so that predicates reach the scan.
+    return df.select(
+        "obs_id", "batch_id", "collection_id", "location_id", "cell", "time", "sat_id", F.col("as_des_pass").cast("int").alias("pass"), "proc_flag1",
         r("f_backscatter").alias("f"), r("m_backscatter").alias("m"), r("a_backscatter").alias("a"), r("sig40_noise").alias("noise"), r("surface_soil_moisture").alias("ssm"))
-    return df.dropna(subset=["location_id", "time"])
-
-
 def grid(spark: SparkSession, d: str) -> DataFrame:
     """The locations as a grid: gpi, lat, lon in [-180, 180), cell."""
     from swathline.operators.nearby import usable_degrees
