@@ -157,6 +157,33 @@ WITH p AS (SELECT DISTINCT location_id AS id, lat, lon FROM locations
            WHERE location_id IS NOT NULL AND lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 360 AND NOT isnan(lat) AND NOT isnan(lon))
 """
 SQL: dict[str, str] = {
+    "p4_found": r"""
+WITH j AS (SELECT rec_id, CASE WHEN json_valid(raw) THEN raw::JSON END AS j FROM eps_products),
+b AS (SELECT rec_id, CASE json_type(j, '$.PRODUCT') WHEN 'VARCHAR' THEN CASE WHEN json_valid(j ->> '$.PRODUCT') THEN (j ->> '$.PRODUCT')::JSON END
+  WHEN 'OBJECT' THEN j -> '$.PRODUCT' ELSE j END AS v FROM j WHERE json_type(j) = 'OBJECT'),
+e AS (SELECT rec_id, v, unnest(CASE WHEN json_type(v, '$.MPHR') = 'ARRAY' THEN from_json(v -> '$.MPHR', '["JSON"]') ELSE [NULL::JSON] END) AS e FROM b),
+h AS (SELECT rec_id, coalesce(max(nullif(upper(trim(CASE json_type(v, '$.MPHR') WHEN 'OBJECT' THEN v ->> '$.MPHR.PRODUCT_TYPE'
+    WHEN 'ARRAY' THEN CASE WHEN e ->> '$.key' = 'PRODUCT_TYPE' THEN e ->> '$.value' END
+    ELSE regexp_extract(v ->> '$.MPHR', '(?:^|\n)PRODUCT_TYPE *= *([^\n]*)', 1) END)), '')), 'NONE') AS product_type FROM e GROUP BY rec_id),
+m AS (SELECT rec_id, unnest(l) AS v, generate_subscripts(l, 1) AS mdr_no FROM (SELECT rec_id, CASE json_type(v, '$.MDR') WHEN 'ARRAY' THEN from_json(v -> '$.MDR', '["JSON"]') WHEN 'OBJECT' THEN [v -> '$.MDR'] ELSE [] END AS l FROM b)),
+n AS (SELECT rec_id, mdr_no, unnest(l) AS v, generate_subscripts(l, 1) AS node_no FROM (SELECT rec_id, mdr_no, CASE json_type(v, '$.NODES') WHEN 'ARRAY' THEN from_json(v -> '$.NODES', '["JSON"]') WHEN 'OBJECT' THEN [v -> '$.NODES'] ELSE [] END AS l FROM m)),
+k AS (SELECT rec_id, mdr_no, node_no, unnest(l) AS v, generate_subscripts(l, 1) AS beam_no FROM (SELECT rec_id, mdr_no, node_no, CASE json_type(v, '$.BEAMS') WHEN 'ARRAY' THEN from_json(v -> '$.BEAMS', '["JSON"]') WHEN 'OBJECT' THEN [v -> '$.BEAMS'] ELSE [] END AS l FROM n))
+SELECT rec_id, product_type, mdr_no::INT AS mdr_no, node_no::INT AS node_no, beam_no::INT AS beam_no FROM k JOIN h USING (rec_id) WHERE json_type(v) = 'OBJECT'""",
+    "p6_found": r"""
+WITH r AS (SELECT stream, file_seq, file_id, CASE WHEN json_valid(payload) THEN payload::JSON END AS p FROM l2_records WHERE stream IS NOT NULL AND file_seq IS NOT NULL),
+k AS (SELECT stream, file_seq, p, unnest(json_keys(p)) AS name FROM r WHERE json_type(p) = 'OBJECT'),
+t AS (SELECT stream, file_seq, name, coalesce(canonical, name) AS field, json_type(p, '$."' || name || '"') AS j FROM k LEFT JOIN field_names ON field_name = name),
+u AS (SELECT stream, file_seq, field, name, CASE WHEN j IN ('BIGINT', 'UBIGINT', 'HUGEINT') THEN 'integer' WHEN j = 'DOUBLE' THEN 'decimal' WHEN j = 'BOOLEAN' THEN 'boolean' WHEN j = 'NULL' THEN NULL ELSE 'text' END AS kind FROM t),
+f AS (SELECT stream, file_seq, field, string_agg(DISTINCT name, ',' ORDER BY name) AS names, CASE WHEN count(DISTINCT kind) = 1 THEN max(kind) WHEN count(DISTINCT kind) = 2 AND bool_and(coalesce(kind, 'integer') IN ('integer', 'decimal')) THEN 'decimal' WHEN count(DISTINCT kind) > 1 THEN 'text' END AS kind FROM u GROUP BY ALL),
+g AS (SELECT stream, file_seq, min(file_id) AS file_id FROM r GROUP BY ALL),
+h AS (SELECT *, lag(file_seq) OVER (PARTITION BY stream ORDER BY file_seq) AS prev FROM g),
+c AS (SELECT f.*, h.file_id, h.prev, b.names AS was FROM f JOIN h USING (stream, file_seq) LEFT JOIN f b ON b.stream = f.stream AND b.field = f.field AND b.file_seq = h.prev),
+d AS (SELECT *, sum(CASE WHEN was IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY stream, field ORDER BY file_seq) AS run FROM c),
+l AS (SELECT *, last_value(kind IGNORE NULLS) OVER (PARTITION BY stream, field, run ORDER BY file_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS known FROM d)
+SELECT file_id, field, 'added' AS change FROM l WHERE prev IS NOT NULL AND was IS NULL
+UNION ALL SELECT file_id, field, 'renamed' FROM l WHERE was <> names
+UNION ALL SELECT file_id, field, 'retyped' FROM l WHERE was IS NOT NULL AND kind <> known
+UNION ALL SELECT h.file_id, b.field, 'removed' FROM h JOIN f b ON b.stream = h.stream AND b.file_seq = h.prev ANTI JOIN f ON f.stream = h.stream AND f.file_seq = h.file_seq AND f.field = b.field""",
     "p7_found": r"""
 WITH c AS (SELECT collection_id, '^' || regexp_replace(regexp_replace(replace(replace(fn_pattern, '.', '[.]'), '{sat}', sat), '\{date\}', '[0-9]{14}', 'g'), '\{[a-z]+[0-9]*\}', '[^_]+', 'g') || '$' AS rx FROM cell_collections),
 l AS (SELECT c.collection_id, unnest(string_split_regex(f.content, '\r?\n')) AS line FROM swath_files f JOIN c ON regexp_matches(f.file_name, c.rx)),
