@@ -350,8 +350,8 @@ query("flags_severity_13", "SELECT obs_id, greatest(0, " + ", ".join(f"{_bit('((
     lambda s, d: obs(s, d).select("obs_id", flags.severity_13(F.pmod(F.col("obs_id") * 7919, F.lit(1048576))).alias("severity")))
 query("flags_remap", "SELECT obs_id, (" + " + ".join(f"{_bit(_BYTE_SQL[n], a)} * {1 << b}" for n, t in flags.REMAP.items() for a, b in t.items()) + ")::BIGINT AS field FROM o")(
     lambda s, d: obs(s, d).select("obs_id", flags.flag_field(_bytes()).alias("field")))
-query("bit_get_set", "SELECT obs_id, ((proc_flag1 >> 2) & 1)::INT AS bit3, (proc_flag1::BIGINT | 16) AS set5, (proc_flag1::BIGINT & ~1) AS clear1 FROM o")(
-    lambda s, d: obs(s, d).select("obs_id", scalars.get_bit(F.col("proc_flag1"), 3).alias("bit3"), scalars.set_bit(F.col("proc_flag1"), 5).alias("set5"), scalars.set_bit(F.col("proc_flag1"), 1, 0).alias("clear1")))
+query("bit_get_set", "SELECT obs_id, ((proc_flag1 >> 2) & 1)::INT AS bit3, (proc_flag1::BIGINT | 16) AS set5, (proc_flag1::BIGINT & ~1) AS clear1 FROM o WHERE proc_flag1 IS NOT NULL")(
+    lambda s, d: obs(s, d).dropna(subset=["proc_flag1"]).select("obs_id", scalars.get_bit(F.col("proc_flag1"), 3).alias("bit3"), scalars.set_bit(F.col("proc_flag1"), 5).alias("set5"), scalars.set_bit(F.col("proc_flag1"), 1, 0).alias("clear1")))
 query("db_lin_roundtrip", "SELECT obs_id, round(pow(10.0, f / 10), 9) AS lin, CASE WHEN noise > 0 THEN round(10 * log10(noise), 6) END AS noise_db FROM o WHERE abs(f) < 50")(
     lambda s, d: obs(s, d).where("abs(f) < 50").select("obs_id", F.round(scalars.db2lin(F.col("f")), 9).alias("lin"), F.round(scalars.lin2db(F.col("noise")), 6).alias("noise_db")))
 _HAM = scalars.window_radius("hamming", 12.5)
@@ -359,15 +359,15 @@ query("window_weights_hamming", f"SELECT gpi, round(w / sum(w) OVER (PARTITION B
     lambda s, d: grid(s, d).withColumn("w", scalars.window_weight("hamming", _HAM, F.col("gpi") % 25)).select("gpi", F.round(scalars.normalised(F.col("w"), "cell"), 8).alias("weight")))
 query("window_weights_boxcar", "SELECT gpi, CASE WHEN gpi % 25 <= 12.5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS weight FROM g")(
     lambda s, d: grid(s, d).select("gpi", scalars.window_weight("boxcar", 12.5, F.col("gpi") % 25).alias("weight")))
-query("cds_time", "SELECT obs_id, TIMESTAMP '2000-01-01' + to_days((obs_id % 3000)::INT) + to_milliseconds((obs_id * 977) % 86400000) AS t, round(2451544.5 + obs_id % 3000 + ((obs_id * 977) % 86400000) / 86400000.0, 8) AS jd FROM o")(
-    lambda s, d: obs(s, d).select("obs_id", scalars.cds_time(F.col("obs_id") % 3000, (F.col("obs_id") * 977) % 86400000).alias("t"), F.round(scalars.julian_day(F.col("obs_id") % 3000, (F.col("obs_id") * 977) % 86400000), 8).alias("jd")))
+query("cds_time", "SELECT obs_id, TIMESTAMP '2000-01-01' + to_days((obs_id % 3000)::INT) + to_milliseconds((obs_id * 977) % 86400000) AS t, round(2451544.5 + obs_id % 3000 + ((obs_id * 977) % 86400000) / 86400000.0, 6) AS jd FROM o")(
+    lambda s, d: obs(s, d).select("obs_id", scalars.cds_time(F.col("obs_id") % 3000, (F.col("obs_id") * 977) % 86400000).alias("t"), F.round(scalars.julian_day(F.col("obs_id") % 3000, (F.col("obs_id") * 977) % 86400000), 6).alias("jd")))
 query("seconds_2000", "SELECT obs_id, TIMESTAMP '2000-01-01' + to_seconds(obs_id * 60) AS t FROM o")(lambda s, d: obs(s, d).select("obs_id", scalars.seconds_2000(F.col("obs_id") * 60).alias("t")))
 query("parts_time", 'SELECT obs_id, make_timestamp(year("time"), month("time"), day("time"), hour("time"), minute("time"), 0.0) AS t FROM o')(
     lambda s, d: obs(s, d).select("obs_id", scalars.parts_time(F.year("time"), F.month("time"), F.dayofmonth("time"), F.hour("time"), F.minute("time"), F.lit(0)).alias("t")))
 query("wrap_longitude", "SELECT location_id, CASE WHEN lon >= 180 THEN lon - 360 ELSE lon END AS lon, CASE WHEN lon < 0 THEN lon + 360 ELSE lon END AS azimuth FROM locations")(
     lambda s, d: table(s, d, "locations").select("location_id", scalars.wrap_longitude(F.col("lon")).alias("lon"), scalars.wrap_azimuth(F.col("lon")).alias("azimuth")))
-query("sat_id_lookup", "SELECT collection_id, CASE sat WHEN 'A' THEN 3 WHEN 'B' THEN 4 WHEN 'C' THEN 5 END AS sat_id, CASE WHEN sat_id BETWEEN 0 AND 5 THEN list_extract([0, 0, 0, 4, 3, 5], sat_id + 1) END AS by_message FROM cell_collections")(
-    lambda s, d: table(s, d, "cell_collections").select("collection_id", scalars.lookup(F.col("sat"), scalars.SAT_BY_LETTER).alias("sat_id"), scalars.lookup(F.col("sat_id"), scalars.SAT_BY_MESSAGE).alias("by_message")))
+query("sat_id_lookup", "SELECT collection_id, coalesce(CASE sat WHEN 'A' THEN 3 WHEN 'B' THEN 4 WHEN 'C' THEN 5 END, -1) AS sat_id, coalesce(CASE WHEN sat_id BETWEEN 0 AND 5 THEN list_extract([0, 0, 0, 4, 3, 5], sat_id + 1) END, -1) AS by_message FROM cell_collections")(
+    lambda s, d: table(s, d, "cell_collections").select("collection_id", F.coalesce(scalars.lookup(F.col("sat"), scalars.SAT_BY_LETTER), F.lit(-1)).alias("sat_id"), F.coalesce(scalars.lookup(F.col("sat_id"), scalars.SAT_BY_MESSAGE), F.lit(-1)).alias("by_message")))
 query("swath_indicator", "SELECT obs_id, floor(obs_id / 82)::INT AS line, (obs_id % 82 + 1)::INT AS node, (obs_id % 82 + 1 > 41)::INT AS swath_indicator, ((obs_id * 13) % 360 < 270)::INT AS pass FROM o")(
     lambda s, d: obs(s, d).select("obs_id", scalars.line_number(F.col("obs_id"), 82).alias("line"), scalars.node_number(F.col("obs_id"), 82).alias("node")).withColumns(
         {"swath_indicator": scalars.swath_indicator(F.col("node"), 82), "pass": scalars.descending_pass((F.col("obs_id") * 13) % 360)}))
@@ -377,8 +377,8 @@ query("beam_union", "SELECT obs_id, 'for' AS beam, f AS sig FROM o UNION ALL SEL
     lambda s, d: formats.by_beam({b: obs(s, d).select("obs_id", F.col(c).alias("sig")) for b, c in (("for", "f"), ("mid", "m"), ("aft", "a"))}))
 query("beam_rename", "SELECT ers_id, fore_backscatter AS backscatter_for, mid_backscatter AS backscatter_mid, aft_backscatter AS backscatter_aft FROM ers_cells")(
     lambda s, d: formats.suffix_beams(table(s, d, "ers_cells").select("ers_id", "fore_backscatter", "mid_backscatter", "aft_backscatter")))
-query("generic_fields", "SELECT obs_id, CASE WHEN f_backscatter <> -999999 AND NOT isnan(f_backscatter) THEN f_backscatter::DOUBLE END AS sig40, CASE WHEN proc_flag1 <> 255 THEN proc_flag1 END AS corr_flag, round(CASE WHEN surface_soil_moisture <> -999999 AND NOT isnan(surface_soil_moisture) THEN surface_soil_moisture * 0.01::DOUBLE END, 6) AS sm FROM observations")(
-    lambda s, d: formats.generic(table(s, d, "observations"), {"obs_id": ("obs_id", "bigint", None, 1), "sig40": ("f_backscatter", "double", -999999.0, 1), "corr_flag": ("proc_flag1", "int", 255, 1), "sm": ("surface_soil_moisture", "double", -999999.0, 0.01)}).withColumn("sm", F.round("sm", 6)))
+query("generic_fields", "SELECT obs_id, CASE WHEN f_backscatter <> -999999 AND NOT isnan(f_backscatter) THEN f_backscatter::DOUBLE END AS sig40, coalesce(CASE WHEN proc_flag1 <> 255 THEN proc_flag1 END, -1) AS corr_flag, round(CASE WHEN surface_soil_moisture <> -999999 AND NOT isnan(surface_soil_moisture) THEN surface_soil_moisture * 0.01::DOUBLE END, 6) AS sm FROM observations")(
+    lambda s, d: formats.generic(table(s, d, "observations"), {"obs_id": ("obs_id", "bigint", None, 1), "sig40": ("f_backscatter", "double", -999999.0, 1), "corr_flag": ("proc_flag1", "int", 255, 1), "sm": ("surface_soil_moisture", "double", -999999.0, 0.01)}).withColumns({"sm": F.round("sm", 6), "corr_flag": F.coalesce("corr_flag", F.lit(-1))}))
 query("encode_fill", "SELECT obs_id, coalesce(f, -999999.0::DOUBLE) AS f, coalesce(proc_flag1, -2147483648) AS flag, coalesce(round(ssm / 0.01)::INT, -1) AS ssm FROM o")(
     lambda s, d: obs(s, d).select("obs_id", nulls.encode_fill(F.col("f"), "double").alias("f"), nulls.encode_fill(F.col("proc_flag1"), "int").alias("flag"), formats.scaled(F.col("ssm"), 0.01, -1).alias("ssm")))
 query("orbit_number", f"SELECT obs_id, 100 + (epoch_us(\"time\") > {_START} + 6082000000)::INT AS orbit FROM o")(
