@@ -54,7 +54,9 @@ def test_store_survives_and_conflicts(spark):
     again = dedupe.BatchStore(spark, root).accept(df.withColumn("id", F.col("id") + 100_000).where("w > 0"))
     assert again.where("accepted").count() == 0
     with pytest.raises(Exception):
-        stale.accept(df)
+        stale.accept(df.where("k1 = 3"))
+    third = dedupe.BatchStore(spark, root).accept(df.withColumn("id", F.col("id") + 200_000).where("w > 0"))
+    assert third.where("accepted").count() == 0, "the losing writer has changed nothing"
     assert dedupe.dedupe_batches(df.where("false"), "batch", scratch_path(spark, "acc")).count() == 0
 
 
