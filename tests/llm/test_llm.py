@@ -194,6 +194,19 @@ def test_replication_decides(spark):
     assert ids(one) == [] and ids(two) == [1, 2]
 
 
+def test_phrases_decide(spark):
+    """Keywords said once need phrases, not words, of another host; sentence-like keywords count by held phrases."""
+    schema = "doc_id bigint, text string, source string"
+    ids = lambda rows: sorted(r["doc_id"] for r in stuffing.stuffed_pages(spark.createDataFrame(rows, schema), "doc_id", "text", "source").collect())
+    text = "lamp hinge valve pump screw tripod kettle saddle ladder bucket"
+    assert ids([(1, text, "a"), (2, " ".join(sorted(text.split())), "b")]) == []
+    assert ids([(1, text, "a"), (2, f"shovel {text}", "b")]) == [1, 2]
+    # "pas", "trop" and "en" are function words: every line reads as a sentence.
+    told = "pas cher capteur trop lent vide\nen double capteur pas cher four\ntrop lent four en double vide\n" * 3
+    goods = "lampe, montre, pas cher, capteur, parfum, lampe, trop lent, vide, canapé, montre, parfum, en double, four, canapé, lampe, montre"
+    assert ids([(1, told, "c")]) == [] and ids([(1, told, "c"), (8, goods, "a"), (9, goods, "b")]) == [1, 8, 9]
+
+
 def test_greedy_arrays():
     rng = random.Random(7)
     for _ in range(200):
