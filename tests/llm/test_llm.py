@@ -154,6 +154,13 @@ def test_mix_edges(spark):
     assert same[0] == same[1]
 
 
+def test_one_batch_a_round(spark):
+    root = scratch_path(spark, "rounds")
+    df = spark.createDataFrame([(1, 1, 1_000 * b, 10, b, b) for b in range(3)], _SCHEMA)
+    assert dedupe.dedupe_batches(df, "batch", root).where("accepted").count() == 3
+    assert len(dedupe.BatchStore(spark, root).rounds) == 3
+
+
 # --- stuffed pages ------------------------------------------------------------------------------------------
 
 _TALK = "I would rather not move the whole table again, since that takes an hour. Have a look at the option for it; it is off by default. "
