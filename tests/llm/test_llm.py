@@ -161,6 +161,14 @@ def test_one_batch_a_round(spark):
     assert len(dedupe.BatchStore(spark, root).rounds) == 3
 
 
+@pytest.mark.parametrize("batches_per_round", [1, 2])
+def test_rows_without_batch(spark, batches_per_round):
+    rows = [(*r[:5], None if r[4] % 7 == 0 else r[5]) for r in _batches(200) if r[4] < 350]
+    for part in (rows, [(*r[:5], None) for r in rows]):
+        got = dedupe.dedupe_batches(spark.createDataFrame(part, _SCHEMA), "batch", scratch_path(spark, "acc"), batches_per_round)
+        assert {r["id"]: r["accepted"] for r in got.collect()} == _greedy(part)
+
+
 # --- stuffed pages ------------------------------------------------------------------------------------------
 
 _TALK = "I would rather not move the whole table again, since that takes an hour. Have a look at the option for it; it is off by default. "
