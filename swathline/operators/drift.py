@@ -112,10 +112,27 @@ def typed_branches(tags: DataFrame, keep: list[str]) -> DataFrame:
         F.when(F.col("canonical_type") == "boolean", v.try_cast("boolean")).alias("truth"), F.when(F.col("canonical_type") == "text", v).alias("text"))
 
 
-def consistent_table(tags: DataFrame, keep: list[str]) -> DataFrame:
-    """The consistent table in wide form: one row per record, one column per field in its canonical type."""
+def consistent_table(tags: DataFrame, keep: list[str], taken: list[str] | None = None) -> DataFrame:
+    """The consistent table in wide form: one row per record with fields, one column per field in its canonical type.
+
+    Of several values of a field in a record (names of one field) the first by name is the value; all that are not
+    null make the branch ``<field>_values`` of texts, which only fields with such records have. Fields named as one
+    of ``taken`` (else ``keep``) end in ``_field``.
+    """
     sql = {"integer": "bigint", "decimal": "double", "boolean": "boolean", "text": "string", None: "string"}
     types = [(r["field"], sql[r["canonical_type"]]) for r in union_types(tags).orderBy("field").collect()]  # one row per field
-    clash = {k.lower() for k in keep}
+    several = {r["field"] for r in tags.where("value IS NOT NULL").groupBy(*keep, "field").count().where("count > 1").select("field").distinct().collect()}
+    clash = {k.lower() for k in taken or keep}
     name = lambda f: f"{f}_field" if f.lower() in clash else f
-    return tags.groupBy(*keep).agg(*[F.max(F.when(F.col("field") == f, F.col("value"))).try_cast(t).alias(name(f)) for f, t in types])
+    has = lambda f: (F.col("field") == f) & F.col("value").isNotNull()
+    values = lambda f: F.transform(F.array_sort(F.collect_list(F.when(has(f), F.struct("name", "value")))), lambda v: v["value"])
+    cols = [F.min_by("value", F.when(has(f), F.struct("name", "value"))).try_cast(t).alias(name(f)) for f, t in types]
+    cols += [values(f).alias(f"{name(f)}_values") for f, _ in types if f in several]
+    return tags.groupBy(*keep).agg(*cols) if cols else tags.select(*keep).distinct()
+
+
+def record_table(df: DataFrame, keep: list[str], payload: str, names: DataFrame) -> DataFrame:
+    """The consistent table of all records: a row for each row of ``df``, those without fields and repeated ones too."""
+    rows = cut(df.select(*keep, payload).withColumn("_row", F.monotonically_increasing_id()))
+    wide = consistent_table(tagged_fields(rows, ["_row"], payload, names), ["_row"], keep).withColumnRenamed("_row", "_r")
+    return rows.select(*keep, "_row").join(wide, F.col("_row") == F.col("_r"), "left").drop("_row", "_r")

@@ -116,7 +116,7 @@ def p6_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All records as one wide table under canonical names and types."""
-    return drift.consistent_table(_tags(spark, sf_dir), ["file_id", "rec_no"])
+    return drift.record_table(table(spark, sf_dir, "l2_records"), ["file_id", "rec_no"], "payload", table(spark, sf_dir, "field_names"))
 
 
 RECORD = "collection_id int, location_id bigint, time_s bigint, backscatter40 double, sm double, _order bigint"

@@ -215,6 +215,17 @@ def test_consistent_table(spark):
     assert wide == {1: (4.0, "true"), 2: (5.5, "x"), 3: (None, None)}
 
 
+def test_record_table_keeps_all(spark):
+    """Records without fields, repeated records and second names of a field."""
+    names = spark.createDataFrame([("num", "num"), ("n2", "num")], "field_name string, canonical string")
+    rows = [(1, '{"num": 9, "n2": 10}'), (2, None), (3, "[]"), (4, "{}"), (5, '{"num": 3}'), (5, '{"num": 3}'), (None, '{"n2": 4}')]
+    df = spark.createDataFrame(rows, "id int, payload string")
+    got = [(r["id"], r["num"], r["num_values"]) for r in drift.record_table(df, ["id"], "payload", names).collect()]
+    exp = [(1, 10, ["10", "9"]), (2, None, None), (3, None, None), (4, None, None), (5, 3, ["3"]), (5, 3, ["3"]), (None, 4, ["4"])]
+    assert sorted(got, key=str) == sorted(exp, key=str)
+    assert drift.record_table(df.where("id = 2"), ["id"], "payload", names).collect() == [(2,)]
+
+
 def test_last_before(spark):
     rng = random.Random(9)
     rows = [(k, o, rng.choice([None, rng.randrange(100)])) for k in (1, None) for o in rng.sample(range(-50, 200), 60)]
