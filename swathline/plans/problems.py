@@ -58,14 +58,19 @@ EPS_LEVELS = (
     flatten.Level("nodes", "NODES", {"latitude": ("$.LATITUDE", "double"), "longitude": ("$.LONGITUDE", "double"), "soil_moisture": ("$.SOIL_MOISTURE.VALUE", "double"), "soil_moisture_error": ("$.SOIL_MOISTURE.ERROR", "double")}),
     flatten.Level("beams", "BEAMS", {"beam": ("$.BEAM", "string"), "sigma0": ("$.SIGMA0", "double"), "kp": ("$.KP", "double"), "f_usable": ("$.FLAGS.F_USABLE", "int"), "f_land": ("$.FLAGS.F_LAND", "double")}),
 )
+EPS_AUX = flatten.Level("aux", "SPHR.AUX", {"name": ("$.NAME", "string"), "version": ("$.VERSION", "string")})
+#: Header fields of the records alone, besides those that all tables have.
+EPS_HEADER = {"format_minor_version": "int", "instrument_model": "string", "orbit_start": "bigint", "processing_level": "string", "product_name": "string", "sensing_start": "string"}
 
 
 def eps_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The flat tables of the nested products: records, lines, nodes, beams."""
+    """The flat tables of the nested products: records, lines, nodes, beams, and aux (the list in the SPHR)."""
     v = F.col("_v")
     header = lambda name: flatten.header_value(v, "MPHR", name)
     root = {"product_type": F.coalesce(header("PRODUCT_TYPE"), F.lit("NONE")), "format_major_version": header("FORMAT_MAJOR_VERSION").try_cast("int"), "spacecraft_id": header("SPACECRAFT_ID")}
-    return flatten.flatten(table(spark, sf_dir, "eps_products"), "rec_id", flatten.body(F.col("raw")), EPS_LEVELS, root)
+    more = {n: header(n.upper()).try_cast(t) for n, t in EPS_HEADER.items()} | {"n_lines": F.try_variant_get(v, "$.SPHR.N_LINES", "bigint")}
+    flat = lambda levels, columns: flatten.flatten(table(spark, sf_dir, "eps_products"), "rec_id", flatten.body(F.col("raw")), levels, columns)
+    return flat(EPS_LEVELS, root) | {"records": flat((), root | more)["records"], "aux": flat((EPS_AUX,), root)["aux"]}
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,7 +155,7 @@ m AS (SELECT collection_id, location_id, w, unnest(range(step + 1, nxt)) AS step
 """
 
 QUERIES = {"p1_found": p1_found, "p1_flags": p1_flags, "p3_found": p3_found, "p3_series": p3_series,
-           "p4_found": p4_found, "p4_records": _p4("records"), "p4_lines": _p4("lines"), "p4_nodes": _p4("nodes"), "p4_beams": _p4("beams"),
+           "p4_found": p4_found, "p4_records": _p4("records"), "p4_lines": _p4("lines"), "p4_nodes": _p4("nodes"), "p4_beams": _p4("beams"), "p4_aux": _p4("aux"),
            "p5_found": p5_found, "p5_regions": p5_regions, "p6_found": p6_found, "p6_types": p6_types, "p6_branches": p6_branches, "p6_table": p6_table, "p7_found": p7_found}
 _PLACES = """
 WITH p AS (SELECT DISTINCT location_id AS id, lat, lon FROM locations

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from swathline.functions import nulls
 from swathline.operators import compact, drift, flatten, gapfill, nearby, spikes
 from swathline.operators.sharding import last_before
+from swathline.plans import problems
 from swathline.session import scratch_path
 
 T0 = datetime(2007, 1, 1)
@@ -143,6 +144,23 @@ def test_flatten(spark):
     assert flatten.flatten(df.where("false"), "rec_id", flatten.body(F.col("raw")), _LEVELS)["beams"].count() == 0
 
 
+def test_eps_records_whole(spark, tmp_path):
+    """All header fields and the SPHR, whatever the shape of header and list."""
+    head = {"PRODUCT_TYPE": "szo", "FORMAT_MINOR_VERSION": 0, "INSTRUMENT_MODEL": " 1", "ORBIT_START": "42109", "PROCESSING_LEVEL": "02", "PRODUCT_NAME": "SCAX_1", "SENSING_START": "20070309073842Z"}
+    aux = [{"NAME": "WET", "VERSION": "3"}, None, {"NAME": "DRY", "VERSION": "4"}]
+    raws = [json.dumps({"MPHR": h, "SPHR": {"N_LINES": 2, "AUX": a}}) for h, a in (
+        (head, aux), ([{"key": k, "value": v} for k, v in head.items()], aux[0]), ("\n".join(f"{k} = {v}" for k, v in head.items()), []))]
+    raws += [json.dumps({"PRODUCT": raws[0]}), "{}", None]
+    spark.createDataFrame(list(enumerate(raws)), "rec_id bigint, raw string").write.parquet(f"{tmp_path}/eps_products.parquet")
+    found = problems.eps_tables(spark, str(tmp_path))
+    got = {r["rec_id"]: tuple(r[c] for c in (*problems.EPS_HEADER, "n_lines")) for r in found["records"].collect()}
+    whole = (0, "1", 42109, "02", "SCAX_1", "20070309073842Z", 2)
+    assert got == {0: whole, 1: whole, 2: whole, 3: whole, 4: (None,) * 7}
+    both = [("1.1", "1", "WET", "3"), ("1.3", "1", "DRY", "4")]
+    got = sorted((r["rec_id"], r["dewey"], r["parent"], r["name"], r["version"]) for r in found["aux"].collect())
+    assert got == [(0, *both[0]), (0, *both[1]), (1, *both[0]), (3, *both[0]), (3, *both[1])]
+
+
 def test_label_nodes(spark):
     df = spark.createDataFrame([(1, '{"a": [1, {"b": null}], "c": "x"}'), (2, "{")], "i bigint, raw string")
     got = {(r["dewey"], r["parent"], r["path"], r["kind"], r["value"]) for r in flatten.label_nodes(df, "i", F.try_parse_json("raw")).collect()}
