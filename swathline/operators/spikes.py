@@ -3,7 +3,8 @@
 Per source (one ordered series per key and field) a robust first-order autoregression is fitted: the scatter
 is the median absolute step, the coefficient follows from the medians of steps over one and two readings.
 Additive-outlier and level-shift tests are then iterated on the residuals: a residual beyond ``SCREEN``
-scatters makes its reading a candidate; one to three successive readings that lie more than ``SPIKE`` scatters
+scatters makes its reading a candidate, and so does a step of more than ``SPIKE`` scatters, whatever the residual (a
+source far from its median may jump back to it); one to three successive readings that lie more than ``SPIKE`` scatters
 away from the clean readings on both sides are additive outliers and leave the series; a candidate whose
 successors stay at its level is a level shift and moves the series' level; tests go on until nothing changes.
 
@@ -120,7 +121,9 @@ def spikes(seg: np.ndarray, x: np.ndarray, scatter: np.ndarray, phi: np.ndarray)
         adj = adj - segment_medians(gi, adj, gi[-1] + 1)[gi]
         e = np.zeros(len(y))
         e[1:][same] = (adj[1:] - phi[g[1:]] * adj[:-1])[same]
-        cand = np.flatnonzero((np.abs(e) > SCREEN * s) & ~tested[live])
+        jump = np.zeros(len(y), bool)
+        jump[1:] = same & (np.abs(np.diff(y)) > SPIKE * s[1:])
+        cand = np.flatnonzero(((np.abs(e) > SCREEN * s) | jump) & ~tested[live])
         if not len(cand):
             break
         size = np.zeros(len(cand), np.int64)

@@ -127,6 +127,17 @@ def test_series_fill(spark):
 _LEVELS = (flatten.Level("lines", "MDR"), flatten.Level("nodes", "NODES"), flatten.Level("beams", "BEAMS", {"s": ("$.S", "double")}))
 
 
+def test_spike_towards_the_median():
+    """A slow swing of uncorrelated steps; the spike leads back to the median, so its residual is small."""
+    rng = np.random.default_rng(1)
+    x = 9 * np.sin(np.arange(4_000) * 2 * np.pi / 2_000) + rng.normal(0, 1, 4_000)
+    x[499:502] = 9, -2, 9
+    seg = np.zeros(len(x), np.int64)
+    scatter, _ = spikes.fit(seg, x, 1)
+    assert abs(x[500]) < 3 * scatter[0]
+    assert np.flatnonzero(spikes.spikes(seg, x, scatter, np.zeros(1))).tolist() == [500]
+
+
 def test_flatten(spark):
     plain = {"MPHR": {"PRODUCT_TYPE": " smr "}, "MDR": [None, {"NODES": {"BEAMS": [{"S": 1.5}, None, {"S": "x"}]}}, {"NODES": [{"BEAMS": []}, {"BEAMS": None}, {}]}]}
     records = [
