@@ -209,6 +209,16 @@ def test_replication_decides(spark):
     assert ids(one) == [] and ids(two) == [1, 2]
 
 
+def test_all_selling_phrases():
+    """Three mentions are enough, and every phrase of a page is tried."""
+    reader = stuffing.Reader()
+    share = lambda text: (lambda r: r[1] / r[0])(reader.read(text))
+    assert share("Looking for desk lamp? The desk lamp for all, and desk lamp it is.") > 0.5
+    goods = ["desk lamp", "hair clip", "knife set", "roof rack", "dog bed"]
+    page = "\n\n".join(f"The {g} is what you want, {g} for you. It is a {g}, so {g} it is, and {g} again." for g in goods)
+    assert share(page) > 0.5
+
+
 def test_phrases_decide(spark):
     """Keywords said once need phrases, not words, of another host; sentence-like keywords count by held phrases."""
     schema = "doc_id bigint, text string, source string"
