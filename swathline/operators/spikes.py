@@ -9,7 +9,7 @@ away from the clean readings on both sides are additive outliers and leave the s
 successors stay at its level is a level shift and moves the series' level; tests go on until nothing changes.
 
 Sources are spread by key. One that holds more than ``MAX_GROUP_ROWS`` rows is cut into range-sorted chunks;
-its scatter then comes from merged step histograms (bins of 2 %), its runs and neighbours across chunk
+the exact median step then comes from the steps in one bin of merged step histograms, its runs and neighbours across chunk
 borders from a scan over the chunks' small border summaries.
 
 Defined results: rows without key, time or row id are left out, and so are missing readings; a constant
@@ -247,6 +247,10 @@ def _whole(keys: Sequence[str], fields: Sequence[tuple[str, float, float]]):
 # --- sources cut into chunks -------------------------------------------------------------------------------
 
 
+def _bins(d: np.ndarray) -> np.ndarray:
+    return np.where(d > 0, np.floor(np.log(np.maximum(d, _BIN0) / _BIN0) / _BIN), -1).astype(np.int64)
+
+
 def _borders(keys: Sequence[str], fields: Sequence[tuple[str, float, float]]):
     """Per chunk one border summary (kind 0) and step histograms of the sources at its borders (kind 1)."""
 
@@ -271,13 +275,13 @@ def _borders(keys: Sequence[str], fields: Sequence[tuple[str, float, float]]):
                 change = np.flatnonzero(v[1:] != v[:-1])
                 per.append({
                     "n": len(v), "head": fair[:HALO], "tail": fair[-HALO:],
+                    "begin": v[:2], "end": v[-2:],
                     "first": v[:1], "lead": int(change[0]) + 1 if len(change) else len(v),
                     "last": v[-1:], "trail": len(v) - 1 - int(change[-1]) if len(change) else len(v),
                 })
                 for lag in (1, 2):
                     d = np.abs(v[lag:] - v[:-lag])
-                    bins = np.where(d > 0, np.floor(np.log(np.maximum(d, _BIN0) / _BIN0) / _BIN), -1).astype(np.int64)
-                    for u, c in zip(*np.unique(bins, return_counts=True), strict=True):
+                    for u, c in zip(*np.unique(_bins(d), return_counts=True), strict=True):
                         hist.append((json.dumps(key), i, lag, int(u), int(c)))
             summary.append((key, per))
         yield pd.DataFrame({"kind": [0], "chunk": [chunk], "src": [""], "fld": [0], "lag": [0], "bin": [0], "n": [0], "body": [pickle.dumps(summary)]})
@@ -373,30 +377,80 @@ def _chunk(keys: Sequence[str], fields: Sequence[tuple[str, float, float]], cont
     return run
 
 
-def _merged_stats(hist: DataFrame) -> dict:
-    """Scatter and coefficient of the cut sources from their merged histograms (one row per source and field)."""
+def _across(borders: list[tuple[int, list]], n_fields: int) -> list[tuple]:
+    """Steps from one chunk of a source to the next, as (src, fld, lag, bin, value, 1)."""
+    out, key_, tail = [], None, []
+    for _, summary in borders:
+        for key, per in summary:
+            if key != key_:
+                key_, tail = key, [np.zeros(0)] * n_fields
+            for i, p in enumerate(per):
+                row, k = np.concatenate([tail[i], p["begin"]]), len(tail[i])
+                for lag in (1, 2):
+                    d = np.array([abs(row[j] - row[j - lag]) for j in range(max(k, lag), len(row)) if j - lag < k])
+                    out += [(json.dumps(key), i, lag, int(u), float(x), 1) for u, x in zip(_bins(d), d, strict=True)]
+                tail[i] = np.concatenate([tail[i], p["end"]])[-2:] if p["n"] < 2 else p["end"]
+    return out
+
+
+def _steps_in(keys: Sequence[str], n_fields: int, wanted: set):
+    """Counts by value of a chunk's steps in the wanted (src, fld, lag, bin)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = list(batches)
+        if not parts:
+            return
+        pdf = pd.concat(parts, ignore_index=True)
+        cols = [pdf[k].to_numpy() for k in keys]
+        start = np.flatnonzero(_starts(len(pdf), cols))
+        ends = np.append(start[1:], len(pdf))
+        for a, b in {(start[0], ends[0]), (start[-1], ends[-1])}:
+            src = json.dumps(tuple(int(c[a]) for c in cols))
+            for i in range(n_fields):
+                v = pdf[f"_v{i}"].to_numpy(np.float64, na_value=np.nan)[a:b]
+                v = v[~np.isnan(v)]
+                for lag in (1, 2):
+                    d = np.abs(v[lag:] - v[:-lag])
+                    bins = _bins(d)
+                    for u in {w[3] for w in wanted if w[:3] == (src, i, lag)}:
+                        x, c = np.unique(d[bins == u], return_counts=True)
+                        yield pd.DataFrame({"src": src, "fld": i, "lag": lag, "bin": u, "value": x, "n": c})
+
+    return run
+
+
+def _merged_stats(hist: DataFrame, chunks: DataFrame, keys: Sequence[str], borders: list[tuple[int, list]], n_fields: int) -> dict:
+    """Scatter and coefficient of the cut sources (one row per source and field): their merged histograms name the
+    bins of the medians, the steps in these bins, counted by value, the medians."""
     from pyspark.sql import Window
 
+    spark = hist.sparkSession
+    steps = "src string, fld int, lag int, bin bigint, value double, n bigint"
+    across = spark.createDataFrame(_across(borders, n_fields), steps)
     # The chunks' histograms are summed by bin first; what the windows order is at most about 1,700 bins a group.
-    h = hist.groupBy("src", "fld", "lag", "bin").agg(F.sum("n").alias("n"))
+    h = hist.select("src", "fld", "lag", "bin", "n").unionByName(across.select("src", "fld", "lag", "bin", "n"))
+    h = h.groupBy("src", "fld", "lag", "bin").agg(F.sum("n").alias("n"))
     w = Window.partitionBy("src", "fld", "lag")
-    median = lambda kept: (
-        kept.withColumn("cum", F.sum("n").over(w.orderBy("bin")))
-        .withColumn("all", F.sum("n").over(w))
-        .where((F.col("cum") * 2 >= F.col("all")) & ((F.col("cum") - F.col("n")) * 2 < F.col("all")))
-        .groupBy("src", "fld", "lag").agg(F.min("bin").alias("bin"))
-    )
+    ranks: list[tuple] = []
+    for moving in (False, True):
+        c = (h.where("bin >= 0") if moving else h).withColumn("cum", F.sum("n").over(w.orderBy("bin"))).withColumn("all", F.sum("n").over(w))
+        c = c.withColumn("r", F.explode(F.array(F.expr("(all - 1) div 2"), F.expr("all div 2")))).where("cum - n <= r AND r < cum")
+        ranks += [(r["src"], r["fld"], r["lag"], r["bin"], r["r"] - (r["cum"] - r["n"]), moving) for r in c.collect()]
+    if not ranks:
+        return {}
+    inside = chunks.mapInPandas(_steps_in(keys, n_fields, {r[:4] for r in ranks}), steps).unionByName(across)
+    inside = inside.groupBy("src", "fld", "lag", "bin", "value").agg(F.sum("n").alias("n"))
+    inside = inside.withColumn("cum", F.sum("n").over(Window.partitionBy("src", "fld", "lag", "bin").orderBy("value")))
+    at = spark.createDataFrame(ranks, "src string, fld int, lag int, bin bigint, r bigint, moving boolean")
+    found: dict = {}
+    for r in at.join(inside, ["src", "fld", "lag", "bin"]).where("cum - n <= r AND r < cum").collect():
+        found.setdefault((r["src"], r["fld"], r["lag"], r["moving"]), []).append(r["value"])
+    median = {k: sum(v) / len(v) for k, v in found.items()}
     out: dict = {}
-    mid = lambda b: 0.0 if b < 0 else _BIN0 * float(np.exp((b + 0.5) * _BIN))
-    every, moving = {}, {}
-    for r in median(h).collect():
-        every[(r["src"], r["fld"], r["lag"])] = mid(r["bin"])
-    for r in median(h.where("bin >= 0")).collect():
-        moving[(r["src"], r["fld"], r["lag"])] = mid(r["bin"])
-    for src, fld, lag in every:
-        if lag == 1:
-            one = every[(src, fld, 1)] or moving.get((src, fld, 1), 0.0)
-            two = every.get((src, fld, 2), 0.0)
+    for src, fld, lag, moving in median:
+        if lag == 1 and not moving:
+            one = median[(src, fld, 1, False)] or median.get((src, fld, 1, True), 0.0)
+            two = median.get((src, fld, 2, False), 0.0)
             out[(tuple(json.loads(src)), fld)] = (one, float(_coefficient(np.array([one]), np.array([two]))[0]) if one else 0.0)
     return out
 
@@ -432,6 +486,6 @@ def implausible_readings(
     chunks = range_chunks(split.hot, split.hot_rows, cols, ["_t", "_id"], n_rows)
     told = chunks.mapInPandas(_borders(cols, limits), "kind int, chunk int, src string, fld int, lag int, bin bigint, n bigint, body binary").persist()
     borders = sorted((r["chunk"], pickle.loads(r["body"])) for r in told.where("kind = 0").select("chunk", "body").collect())  # noqa: S301
-    stats = _merged_stats(told.where("kind = 1"))
+    stats = _merged_stats(told.where("kind = 1"), chunks, cols, borders, len(fields))
     told.unpersist()
     return found.unionByName(chunks.mapInPandas(_chunk(cols, limits, _scan(borders, stats, len(fields))), _OUT))

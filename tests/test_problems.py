@@ -127,6 +127,16 @@ def test_series_fill(spark):
 _LEVELS = (flatten.Level("lines", "MDR"), flatten.Level("nodes", "NODES"), flatten.Level("beams", "BEAMS", {"s": ("$.S", "double")}))
 
 
+def test_scatter_chunked_like_whole(spark):
+    rng = np.random.default_rng(3)
+    rows = [(k, i, k * 1_000 + i, float(round(x, 2)), 60.0) for k in (1, 2) for i, x in enumerate(rng.normal(0, 1, 501 - k))]
+    rows += [(1, 9_000 + k, 9_000 + k, 99.0, 99.0) for k in range(3)]
+    df = spark.createDataFrame(rows, "k int, t bigint, i bigint, a double, b double")
+    fields = [spikes.Field("a", F.col("a"), -50.0, 50.0), spikes.Field("b", F.col("b"), -50.0, 50.0)]
+    runs = [{(r["field"], r["rec_id"]): r["scatter"] for r in spikes.implausible_readings(df, ["k"], F.col("t"), "i", fields, **o).collect()} for o in ({}, {"max_group_rows": 100, "chunk_rows": 70})]
+    assert runs[0] and runs[0] == runs[1]
+
+
 def test_spike_towards_the_median():
     """A slow swing of uncorrelated steps; the spike leads back to the median, so its residual is small."""
     rng = np.random.default_rng(1)
