@@ -134,7 +134,7 @@ def p7_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = compact.parse_files(table(spark, sf_dir, "swath_files"), "file_name", "content", "file_id", patterns, "collection_id")
     landed = compact.PartitionedTable(spark, scratch_path(spark, "swaths"), RECORD, "collection_id")
     landed.append(found)
-    landed.compact(["location_id", "time_s"], "_order", min_files=0)
+    landed.compact(["location_id", "time_s"], "_order")
     return landed.read()
 
 

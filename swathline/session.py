@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -46,15 +47,48 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def _file(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, deleted when the driver ends (results read it lazily until then)."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    fs, p = _file(spark, path)
+    fs.mkdirs(p)  # a path that is not there is not noted for deletion
+    fs.deleteOnExit(p)
+    fs.delete(p, True)
+    return path
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    fs, p = _file(spark, path)
+    fs.delete(p, True)
+
+
+def publish(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a small file that nobody has written yet, whole or not at all; False if it is there.
+
+    The text goes to a file of its own that is then renamed: a writer that is killed leaves no half-written file and
+    blocks nobody.
+    """
+    sc = spark.sparkContext
+    fs, p = _file(spark, path)
+    _, own = _file(spark, f"{path}.{uuid.uuid4().hex}.tmp")
+    out = fs.create(own, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    hadoop = sc._jvm.org.apache.hadoop.fs
+    context = hadoop.FileContext.getFileContext(own.getFileSystem(sc._jsc.hadoopConfiguration()).getUri(), sc._jsc.hadoopConfiguration())
+    try:
+        context.rename(own, p, sc._gateway.new_array(getattr(hadoop, "Options$Rename"), 0))
+    except Py4JJavaError as e:
+        fs.delete(own, False)
+        if "FileAlreadyExists" in e.java_exception.getClass().getName():
+            return False
+        raise
+    return True
 
 
 def cut(df: DataFrame) -> DataFrame:
