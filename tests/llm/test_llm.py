@@ -37,7 +37,7 @@ def _batches(n=600, span=3_000, w=100):
 _SCHEMA = "k0 int, k1 bigint, t bigint, w bigint, id bigint, batch int"
 
 
-@pytest.mark.parametrize("options", [{}, {"batches_per_round": 1, "words_per_slot": 8}, {"batches_per_round": 3, "max_group_rows": 40, "chunk_rows": 30}])
+@pytest.mark.parametrize("options", [{}, {"fanout": 2}, {"batches_per_round": 3, "max_group_rows": 40, "chunk_rows": 30}])
 def test_dedupe_brute_force(spark, options):
     rows = _batches()
     exp = _greedy(rows)
@@ -158,7 +158,30 @@ def test_one_batch_a_round(spark):
     root = scratch_path(spark, "rounds")
     df = spark.createDataFrame([(1, 1, 1_000 * b, 10, b, b) for b in range(3)], _SCHEMA)
     assert dedupe.dedupe_batches(df, "batch", root).where("accepted").count() == 3
-    assert len(dedupe.BatchStore(spark, root).rounds) == 3
+    store = dedupe.BatchStore(spark, root)
+    assert store.version == len(store.runs) == 3
+
+
+def test_lookup_reads_no_history_of_other_zones(spark, monkeypatch):
+    """Of a long history a batch reads the row groups its positives lie in, and the filters let few others pass."""
+    monkeypatch.setattr(dedupe, "ROW_GROUP", 1 << 15)
+    day = 86_400_000_000
+    df = spark.range(400_000).select(F.lit(1).alias("k0"), (F.col("id") % 20_000).alias("k1"), (F.col("id") / 20_000).cast("bigint").alias("t"), F.lit(600_000_000).alias("w"), "id")
+    df = df.withColumn("t", F.col("t") * (day // 2))
+    store = dedupe.BatchStore(spark, scratch_path(spark, "long"))
+    assert store.accept(df).where("accepted").count() == 400_000
+    late = df.where("id IN (7, 20011, 390000)").withColumn("id", F.col("id") + 1_000_000)
+    new = spark.range(1000).select(F.lit(1).alias("k0"), (F.col("id") + 50_000).alias("k1"), (F.lit(3) * day).alias("t"), F.lit(600_000_000).alias("w"), (F.col("id") + 2_000_000).alias("id"))
+    batch = late.unionByName(new).select(*[F.col(c).cast("bigint").alias(c) for c in ("k0", "k1", "t", "w", "id")])
+    found = store.history(batch)
+    assert {r["id"] for r in found.collect()} >= {7, 20011, 390000} and found.count() < 60
+    read = store._read("store", dedupe._STORED).where(store._zones(store._held))
+    seen = spark._jsparkSession.sessionState().executePlan(read.select("fp")._jdf.queryExecution().logical(), spark._jvm.org.apache.spark.sql.execution.CommandExecutionMode.ALL()).executedPlan()
+    scan = seen.collectLeaves().head()
+    seen.executeCollect()
+    assert scan.metrics().apply("numOutputRows").value() < 40_000
+    decided = store.accept(batch)
+    assert {r["id"] for r in decided.where("NOT accepted").collect()} == {1_000_007, 1_020_011, 1_390_000}
 
 
 @pytest.mark.parametrize("batches_per_round", [1, 2])
