@@ -1,10 +1,11 @@
 """Irregular readings onto a regular grid: one row per source and step, gaps marked and filled.
 
 Readings are first combined per source and step (map-side, so a hot source shrinks to its steps). The steps of
-a source are cut into time shards of ``SHARD_STEPS`` steps. Every shard is summarised by its first and last
-step that has a reading; a prefix scan over these few summaries hands each shard the last state before it; and
-then every shard fills its own steps without looking at any other. A gap of many shards is handed out piece by
-piece, so that no task makes more than a shard of rows for one input row.
+a source are cut into time shards of ``SHARD_STEPS`` steps. Every shard fills the gaps between its own steps without
+looking at any other. It is summarised by its first and last step that has a reading; a prefix scan over these
+summaries alone (two steps a shard) carries the last state over to the next shard and gives the gaps that lie across
+borders. No task holds more of a source than a shard. A gap of many shards is handed out piece by piece, so that no
+task makes more than a shard of rows for one input row.
 
 Filling: ``last`` carries the last value forward, ``linear`` interpolates between the readings on both sides.
 
@@ -32,25 +33,21 @@ def step_readings(df: DataFrame, keys: Sequence[str], time_s: Column, step_s: Co
     return rows.groupBy(*keys, "_w", "_step").agg(F.count(F.lit(1)).alias("n_readings"), F.avg("_v").alias("value"))
 
 
-def _shards(steps: DataFrame, keys: Sequence[str], shard_steps: int) -> DataFrame:
-    """Shards that hold readings, each with its steps (at most ``shard_steps``) and the state before it."""
+def _gaps(steps: DataFrame, keys: Sequence[str], shard_steps: int, *state: str) -> DataFrame:
+    """Keys, step width and ``_g`` (first and last missing step, ``state`` columns of the readings before and after)."""
     group = [*keys, "_w"]
-    inside = steps.withColumn("_shard", F.floor(F.col("_step") / shard_steps).cast("bigint"))
-    shard = inside.groupBy(*group, "_shard").agg(
-        F.array_sort(F.collect_list(F.struct("_step", "n_readings", "value"))).alias("_s"))
-    w = Window.partitionBy(*group).orderBy("_shard")
-    last = F.element_at("_s", -1)
-    return shard.withColumn("_before", F.lag(F.struct(last["_step"].alias("_step"), last["value"].alias("value"))).over(w))
+    inside = steps.withColumn("_shard", F.floor(F.col("_step") / shard_steps).cast("bigint")).select(*group, "_shard", F.struct("_step", *state).alias("_p"))
+    own = inside.withColumn("_q", F.lag("_p").over(Window.partitionBy(*group, "_shard").orderBy("_p._step")))
+    ends = inside.groupBy(*group, "_shard").agg(F.min("_p").alias("_p"), F.max("_p").alias("_last"))
+    ends = ends.withColumn("_q", F.lag("_last").over(Window.partitionBy(*group).orderBy("_shard")))
+    both = own.select(*group, "_p", "_q").unionByName(ends.select(*group, "_p", "_q")).where(F.col("_p._step") > F.col("_q._step") + 1)
+    gap = [(F.col("_q._step") + 1).alias("a"), (F.col("_p._step") - 1).alias("b")]
+    return both.select(*group, F.struct(*gap, *[F.col(f"_q.{c}").alias(f"{c}_a") for c in state], *[F.col(f"_p.{c}").alias(f"{c}_b") for c in state]).alias("_g"))
 
 
 def missing_steps(df: DataFrame, keys: Sequence[str], time_s: Column, step_s: Column, value: Column, shard_steps: int = SHARD_STEPS) -> DataFrame:
     """Keys, step width and number of every step without a usable reading between a source's first and last."""
-    shards = _shards(step_readings(df, keys, time_s, step_s, value), keys, shard_steps)
-    had = F.concat(F.when(F.col("_before").isNotNull(), F.array(F.col("_before")["_step"])).otherwise(F.array().cast("array<bigint>")), F.transform("_s", lambda s: s["_step"]))
-    gaps = F.filter(F.transform(F.sequence(F.lit(1), F.size("_had") - 1), lambda i: F.struct((F.element_at("_had", i) + 1).alias("a"), (F.element_at("_had", i + 1) - 1).alias("b"))), lambda g: g["a"] <= g["b"])
-    rows = shards.select(*keys, "_w", had.alias("_had")).where(F.size("_had") > 1)
-    rows = rows.select(*keys, "_w", F.explode(gaps).alias("_g"))
-    return _unroll(rows, keys, shard_steps)
+    return _unroll(_gaps(step_readings(df, keys, time_s, step_s, value), keys, shard_steps), keys, shard_steps)
 
 
 def _unroll(rows: DataFrame, keys: Sequence[str], shard_steps: int, *extra: str) -> DataFrame:
@@ -65,17 +62,10 @@ def regular_series(df: DataFrame, keys: Sequence[str], time_s: Column, step_s: C
     """The whole regular series: keys, step_start_s, n_readings (0 where missing), value, filled, missing."""
     if fill not in ("last", "linear"):
         raise ValueError(f"fill must be last or linear, not {fill!r}")
-    shards = _shards(step_readings(df, keys, time_s, step_s, value), keys, shard_steps)
-    point = lambda s: F.struct(s["_step"].alias("_step"), s["value"].alias("value"))
-    had = F.concat(F.when(F.col("_before").isNotNull(), F.array(F.col("_before"))).otherwise(F.array().cast("array<struct<_step:bigint,value:double>>")), F.transform("_s", point))
-    full = shards.select(*keys, "_w", F.explode("_s").alias("_p")).select(
-        *keys, "_w", F.col("_p._step").alias("_step"), F.col("_p.n_readings").alias("n_readings"), F.col("_p.value").alias("value"), F.col("_p.value").alias("filled"), F.lit(False).alias("missing"))
-    gap = F.transform(F.sequence(F.lit(1), F.size("_had") - 1), lambda i: F.struct(
-        (F.element_at("_had", i)["_step"] + 1).alias("a"), (F.element_at("_had", i + 1)["_step"] - 1).alias("b"),
-        F.element_at("_had", i)["value"].alias("va"), F.element_at("_had", i + 1)["value"].alias("vb")))
-    rows = shards.select(*keys, "_w", had.alias("_had")).where(F.size("_had") > 1).select(*keys, "_w", F.explode(F.filter(gap, lambda g: g["a"] <= g["b"])).alias("_g"))
-    rows = _unroll(rows.withColumn("_e", F.col("_g")), keys, shard_steps, "_e")
+    steps = step_readings(df, keys, time_s, step_s, value)
+    full = steps.select(*keys, "_w", "_step", "n_readings", "value", F.col("value").alias("filled"), F.lit(False).alias("missing"))
+    rows = _unroll(_gaps(steps, keys, shard_steps, "value").withColumn("_e", F.col("_g")), keys, shard_steps, "_e")
     share = (F.col("_step") - F.col("_e.a") + 1) / (F.col("_e.b") - F.col("_e.a") + 2)
-    filled = F.col("_e.va") if fill == "last" else F.col("_e.va") + (F.col("_e.vb") - F.col("_e.va")) * share
+    filled = F.col("_e.value_a") if fill == "last" else F.col("_e.value_a") + (F.col("_e.value_b") - F.col("_e.value_a")) * share
     empty = rows.select(*keys, "_w", "_step", F.lit(0).cast("bigint").alias("n_readings"), F.lit(None).cast("double").alias("value"), filled.alias("filled"), F.lit(True).alias("missing"))
     return full.unionByName(empty).select(*keys, (F.col("_step") * F.col("_w")).alias("step_start_s"), "n_readings", "value", "filled", "missing")

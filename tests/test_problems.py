@@ -122,6 +122,19 @@ def test_series_fill(spark):
         gapfill.regular_series(df, ["s"], F.col("t"), F.lit(10), F.col("v"), "mean")
 
 
+def test_gaps_of_one_source_of_many_shards(spark):
+    """Only summaries are ordered by source: the window over whole sources reads two steps a shard."""
+    rng = random.Random(5)
+    at = sorted(rng.sample(range(-3000, 30_000), 2_000))
+    df = spark.createDataFrame([(1, t * 60, 1.0) for t in at], "src int, t bigint, v double")
+    gaps = gapfill.missing_steps(df, ["src"], F.col("t"), F.lit(60), F.col("v"), shard_steps=16)
+    assert sorted(r["_step"] for r in gaps.collect()) == sorted(set(range(at[0], at[-1] + 1)) - set(at))
+    windows = [w for w in gaps._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window [" in w]
+    assert len(windows) == 2 and sum("_shard" in w.split("], [")[1] for w in windows) == 1
+    whole = next(w for w in windows if "_shard" not in w.split("], [")[1])
+    assert "_last" in whole
+
+
 # --- nested records -----------------------------------------------------------------------------------------
 
 _LEVELS = (flatten.Level("lines", "MDR"), flatten.Level("nodes", "NODES"), flatten.Level("beams", "BEAMS", {"s": ("$.S", "double")}))
