@@ -5,8 +5,10 @@ a file's field are fused by a combining aggregation, keeping each alternative ty
 canonical ones first. A field whose alternatives conflict keeps a typed branch for each and gets one canonical
 conversion, to the narrowest type that all its values convert to without loss.
 
-Files of a stream are compared with the file before. Neither a stream's files nor a field's history is held by
-one task: predecessors and the last known types come from sharded scans.
+A file is one row with its fields' names and fused types. It is compared with the file before it in its stream: the
+rows of a shard of a stream among themselves, the first one of a shard with the last one of the shard before, found
+by a scan of the shards' end rows. Where the file before holds only nulls of a field, the type known before comes
+from the beginning of that run of nulls. Neither a stream's files nor a field's history is held by one task.
 
 Defined results: a payload that is NULL, empty or no JSON object has no fields (its file still counts); an
 unlisted name stands for itself; several names of one field in a file are a set, and sets are compared; of
@@ -16,9 +18,12 @@ one file (of the smallest id); a field with only nulls has no type.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from swathline.operators import flatten
 from swathline.operators.sharding import last_before
 from swathline.session import cut
 
@@ -40,18 +45,37 @@ def kind_of(v: Column) -> Column:
     )
 
 
-def tagged_fields(df: DataFrame, keep: list[str], payload: str, names: DataFrame) -> DataFrame:
-    """One row per record and field: the kept columns, name, field (canonical), kind, and the value as text.
+def _exploded(df: DataFrame, keep: list[str], payload: str, outer: bool = False) -> DataFrame:
+    """The kept columns, name and value (VARIANT) of every field; ``outer``: a row without name for no fields."""
+    view = f"_swathline_{uuid.uuid4().hex}"
+    df.select(*keep, F.try_parse_json(F.col(payload)).alias("_v")).createOrReplaceTempView(view)
+    kept = "".join(f"r.`{k}`, " for k in keep)
+    made = f"variant_explode{'_outer' if outer else ''}"
+    rows = df.sparkSession.sql(f"SELECT {kept}e.key AS name, e.value AS _v FROM {view} r, LATERAL {made}(r._v) e" + ("" if outer else " WHERE e.key IS NOT NULL"))
+    df.sparkSession.catalog.dropTempView(view)
+    return rows
 
-    ``names`` (field_name, canonical) is joined by size, it grows with the number of names, not of records.
-    """
-    df.select(*keep, F.try_parse_json(F.col(payload)).alias("_v")).createOrReplaceTempView("_swathline_payloads")
-    kept = ", ".join(f"r.`{k}`" for k in keep)
-    rows = df.sparkSession.sql(f"SELECT {kept}, e.key AS name, e.value AS _v FROM _swathline_payloads r, LATERAL variant_explode(r._v) e WHERE e.key IS NOT NULL")
+
+def _named(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """``field``: the canonical name of ``name``; the names are joined by size, they grow with names, not records."""
     known = names.select(F.col("field_name").alias("_n"), F.col("canonical").alias("_c")).dropDuplicates(["_n"])
-    rows = rows.join(known, F.col("name") == F.col("_n"), "left")
-    text = F.coalesce(F.try_variant_get("_v", "$", "string"), F.when(~F.is_variant_null("_v"), F.to_json("_v")))
-    return rows.select(*keep, "name", F.coalesce("_c", "name").alias("field"), kind_of(F.col("_v")).alias("kind"), text.alias("value"))
+    return rows.join(known, F.col("name") == F.col("_n"), "left").withColumn("field", F.coalesce("_c", "name")).drop("_n", "_c")
+
+
+def as_text(v: Column) -> Column:
+    """A JSON value as text, NULL for a null; objects and lists as JSON."""
+    return F.coalesce(F.try_variant_get(v, "$", "string"), F.when(~F.is_variant_null(v), F.to_json(v)))
+
+
+def tagged_fields(df: DataFrame, keep: list[str], payload: str, names: DataFrame) -> DataFrame:
+    """One row per record and field: the kept columns, name, field (canonical), kind, and the value as text."""
+    rows = _named(_exploded(df, keep, payload), names)
+    return rows.select(*keep, "name", "field", kind_of(F.col("_v")).alias("kind"), as_text(F.col("_v")).alias("value"))
+
+
+def path_types(df: DataFrame, payload: str) -> DataFrame:
+    """Every path of the payloads, nested ones too, with each alternative type and how often it occurs."""
+    return flatten.label_nodes(df.select(F.lit(0).alias("_r"), F.col(payload)), "_r", F.try_parse_json(F.col(payload))).groupBy("path", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _fused(kinds: Column) -> Column:
@@ -62,30 +86,58 @@ def _fused(kinds: Column) -> Column:
     )
 
 
+def file_schemas(df: DataFrame, stream: str, seq: str, file: str, payload: str, names: DataFrame) -> DataFrame:
+    """One row a file: stream, seq, file, and ``fields``, a map from field to its names and fused type."""
+    base = df.where(F.col(stream).isNotNull() & F.col(seq).isNotNull())
+    base = base.select(F.col(stream).alias("stream"), F.col(seq).cast("bigint").alias("seq"), F.col(file).alias("file"), payload)
+    tags = _exploded(base, ["stream", "seq", "file"], payload, outer=True)
+    tags = tags.select("stream", "seq", "file", "name", F.when(F.col("name").isNotNull(), kind_of(F.col("_v"))).alias("kind"))
+    # A file's names and types are few; its records are combined before anything moves.
+    tags = _named(tags.groupBy("stream", "seq", "name", "kind").agg(F.min("file").alias("file")), names)
+    files = tags.groupBy("stream", "seq").agg(F.min("file").alias("file"), F.collect_list(F.when(F.col("name").isNotNull(), F.struct("field", "name", "kind"))).alias("_t"))
+    found = F.array_distinct(F.transform("_t", lambda t: t["field"]))
+
+    def of(f: Column) -> Column:
+        mine = F.filter("_t", lambda t: t["field"] == f)
+        kinds = F.array_distinct(F.filter(F.transform(mine, lambda t: t["kind"]), lambda k: k.isNotNull()))
+        return F.struct(F.array_sort(F.array_distinct(F.transform(mine, lambda t: t["name"]))).alias("names"), _fused(kinds).alias("kind"))
+
+    return files.select("stream", "seq", "file", F.map_from_arrays(found, F.transform(found, of)).alias("fields"))
+
+
+def _pairs(files: DataFrame, shard_span: int) -> DataFrame:
+    """Each file with the one before it in its stream: stream, seq, file, fields, and p (seq, file, fields; or NULL)."""
+    rows = files.withColumn("_shard", F.floor(F.col("seq") / shard_span).cast("bigint")).select("stream", "_shard", "seq", F.struct("file", "fields").alias("n"))
+    own = rows.withColumn("p", F.lag("n").over(Window.partitionBy("stream", "_shard").orderBy("seq"))).where("p IS NOT NULL")
+    ends = rows.groupBy("stream", "_shard").agg(F.min("seq").alias("seq"), F.min_by("n", "seq").alias("n"), F.max_by("n", "seq").alias("last"))
+    ends = ends.withColumn("p", F.lag("last").over(Window.partitionBy("stream").orderBy("_shard")))
+    return own.select("stream", "seq", "n", "p").unionByName(ends.select("stream", "seq", "n", "p"))
+
+
 def schema_changes(df: DataFrame, stream: str, seq: str, file: str, payload: str, names: DataFrame, shard_span: int = 4096) -> DataFrame:
     """file id, field, change (added, removed, renamed, retyped) against the file before in the stream."""
-    base = df.where(F.col(stream).isNotNull() & F.col(seq).isNotNull())
-    files = base.groupBy(F.col(stream).alias("stream"), F.col(seq).cast("bigint").alias("seq")).agg(F.min(file).alias("file"))
-    files = cut(last_before(files, ["stream"], "seq", {"prev": F.col("seq")}, shard_span))
-    tags = tagged_fields(base.withColumns({"_st": F.col(stream), "_sq": F.col(seq).cast("bigint")}), ["_st", "_sq"], payload, names)
-    fields = tags.groupBy("_st", "_sq", "field").agg(F.array_sort(F.collect_set("name")).alias("names"), F.collect_set("kind").alias("kinds"))
-    # Payloads are read once; a row per file and field is used four times below.
-    fields = cut(fields.select(F.col("_st").alias("stream"), F.col("_sq").alias("seq"), "field", "names", _fused(F.col("kinds")).alias("kind")))
-    links = files.select(F.col("stream").alias("f_stream"), F.col("seq").alias("f_seq"), "file", "prev")
-    now = fields.join(links, (F.col("stream") == F.col("f_stream")) & (F.col("seq") == F.col("f_seq"))).drop("f_stream", "f_seq")
-    was = fields.select(F.col("stream").alias("p_stream"), F.col("seq").alias("p_seq"), F.col("field").alias("p_field"), F.col("names").alias("p_names"))
-    now = now.join(was, (F.col("stream") == F.col("p_stream")) & (F.col("prev") == F.col("p_seq")) & (F.col("field") == F.col("p_field")), "left").drop("p_stream", "p_seq", "p_field")
-    fresh = F.col("p_names").isNull()
-    now = last_before(now, ["stream", "field"], "seq", {"known": F.when(fresh | F.col("kind").isNotNull(), F.struct("kind"))}, shard_span)
-    change = F.concat(
-        F.when(F.col("prev").isNotNull() & fresh, F.array(F.lit("added"))).otherwise(F.array().cast("array<string>")),
-        F.when(~fresh & (F.col("names") != F.col("p_names")), F.array(F.lit("renamed"))).otherwise(F.array().cast("array<string>")),
-        F.when(~fresh & (F.col("kind") != F.col("known.kind")), F.array(F.lit("retyped"))).otherwise(F.array().cast("array<string>")))
-    seen = now.select(F.col("file").alias(file), "field", F.explode(change).alias("change"))
-    after = files.where("prev IS NOT NULL").select(F.col("stream").alias("n_stream"), F.col("prev").alias("n_prev"), F.col("seq").alias("n_seq"), F.col("file").alias("n_file"))
-    gone = fields.join(after, (F.col("stream") == F.col("n_stream")) & (F.col("seq") == F.col("n_prev")))
-    gone = gone.join(was.drop("p_names"), (F.col("n_stream") == F.col("p_stream")) & (F.col("n_seq") == F.col("p_seq")) & (F.col("field") == F.col("p_field")), "left_anti")
-    return seen.unionByName(gone.select(F.col("n_file").alias(file), "field", F.lit("removed").alias("change")))
+    files = cut(file_schemas(df, stream, seq, file, payload, names))  # payloads are read once, a row a file stays
+    now, was = F.col("n.fields"), F.col("p.fields")
+    none = F.array().cast("array<struct<field:string,change:string,kind:string>>")
+    row = lambda f, c, k=None: F.array(F.struct(f.alias("field"), F.lit(c).alias("change"), (F.lit(None).cast("string") if k is None else k).alias("kind")))
+
+    def of(f: Column) -> Column:
+        a, b = now[f], was[f]
+        kind, before = a["kind"], b["kind"]
+        return F.concat(
+            F.when(F.col("p").isNotNull() & b.isNull(), row(f, "added")).otherwise(none),
+            F.when(a["names"] != b["names"], row(f, "renamed")).otherwise(none),
+            F.when(kind != before, row(f, "retyped")).otherwise(none),
+            # A run of nulls begins, with the type known till then; and ends, with the type told then.
+            F.when(kind.isNull() & (b.isNull() | before.isNotNull()), row(f, "_begins", before)).otherwise(none),
+            F.when(kind.isNotNull() & b.isNotNull() & before.isNull(), row(f, "_ends", kind)).otherwise(none))
+
+    gone = F.transform(F.filter(F.map_keys(was), lambda f: now[f].isNull()), lambda f: F.struct(f.alias("field"), F.lit("removed").alias("change"), F.lit(None).cast("string").alias("kind")))
+    seen = F.concat(F.flatten(F.transform(F.map_keys(now), of)), F.coalesce(gone, none))
+    told = _pairs(files, shard_span).select("stream", "seq", F.col("n.file").alias("file"), F.explode(seen).alias("e")).select("stream", "seq", "file", "e.*")
+    runs = last_before(told.where(F.col("change").isin("_begins", "_ends")), ["stream", "field"], "seq", {"known": F.when(F.col("change") == "_begins", F.struct("kind"))}, shard_span)
+    late = runs.where((F.col("change") == "_ends") & (F.col("kind") != F.col("known.kind"))).select("file", "field", F.lit("retyped").alias("change"))
+    return told.where(~F.col("change").isin("_begins", "_ends")).select("file", "field", "change").unionByName(late).withColumnRenamed("file", file)
 
 
 def union_types(tags: DataFrame) -> DataFrame:
@@ -112,27 +164,34 @@ def typed_branches(tags: DataFrame, keep: list[str]) -> DataFrame:
         F.when(F.col("canonical_type") == "boolean", v.try_cast("boolean")).alias("truth"), F.when(F.col("canonical_type") == "text", v).alias("text"))
 
 
-def consistent_table(tags: DataFrame, keep: list[str], taken: list[str] | None = None) -> DataFrame:
-    """The consistent table in wide form: one row per record with fields, one column per field in its canonical type.
+def _at(payload: str, name: str) -> Column:
+    """The value of one top-level name of ``_v``, as text."""
+    if "'" in name and '"' in name:  # no path can name it
+        return F.try_element_at(F.from_json(F.col(payload), "map<string,string>"), F.lit(name))
+    q = '"' if "'" in name else "'"
+    return as_text(F.try_variant_get("_v", f"$[{q}{name}{q}]", "variant"))
+
+
+def record_table(df: DataFrame, keep: list[str], payload: str, names: DataFrame) -> DataFrame:
+    """The consistent table: a row for each row of ``df``, those without fields too, one column per field in its
+    canonical type. Every record is projected where it lies; nothing is shuffled but the counts of names and types.
 
     Of several values of a field in a record (names of one field) the first by name is the value; all that are not
     null make the branch ``<field>_values`` of texts, which only fields with such records have. Fields named as one
-    of ``taken`` (else ``keep``) end in ``_field``.
+    of ``keep`` end in ``_field``.
     """
+    tags = tagged_fields(df, [], payload, names)
     sql = {"integer": "bigint", "decimal": "double", "boolean": "boolean", "text": "string", None: "string"}
     types = [(r["field"], sql[r["canonical_type"]]) for r in union_types(tags).orderBy("field").collect()]  # one row per field
-    several = {r["field"] for r in tags.where("value IS NOT NULL").groupBy(*keep, "field").count().where("count > 1").select("field").distinct().collect()}
-    clash = {k.lower() for k in taken or keep}
+    said: dict[str, list[str]] = {}
+    for r in tags.select("field", "name").distinct().collect():  # one row per name
+        said.setdefault(r["field"], []).append(r["name"])
+    clash = {k.lower() for k in keep}
     name = lambda f: f"{f}_field" if f.lower() in clash else f
-    has = lambda f: (F.col("field") == f) & F.col("value").isNotNull()
-    values = lambda f: F.transform(F.array_sort(F.collect_list(F.when(has(f), F.struct("name", "value")))), lambda v: v["value"])
-    cols = [F.min_by("value", F.when(has(f), F.struct("name", "value"))).try_cast(t).alias(name(f)) for f, t in types]
-    cols += [values(f).alias(f"{name(f)}_values") for f, _ in types if f in several]
-    return tags.groupBy(*keep).agg(*cols) if cols else tags.select(*keep).distinct()
-
-
-def record_table(df: DataFrame, keep: list[str], payload: str, names: DataFrame) -> DataFrame:
-    """The consistent table of all records: a row for each row of ``df``, those without fields and repeated ones too."""
-    rows = cut(df.select(*keep, payload).withColumn("_row", F.monotonically_increasing_id()))
-    wide = consistent_table(tagged_fields(rows, ["_row"], payload, names), ["_row"], keep).withColumnRenamed("_row", "_r")
-    return rows.select(*keep, "_row").join(wide, F.col("_row") == F.col("_r"), "left").drop("_row", "_r")
+    rows = df.select(*keep, payload, F.try_parse_json(F.col(payload)).alias("_v"))
+    values = {f: F.array_compact(F.array(*[_at(payload, n) for n in sorted(said[f])])) for f, _ in types}
+    shared = [f for f, _ in types if len(said[f]) > 1]
+    most = rows.agg(*[F.max(F.size(values[f])).alias(str(i)) for i, f in enumerate(shared)]).first() if shared else []
+    several = {f for f, n in zip(shared, most, strict=True) if (n or 0) > 1}
+    cols = [F.get(values[f], F.lit(0)).try_cast(t).alias(name(f)) for f, t in types]
+    return rows.select(*keep, *cols, *[F.when(F.size(values[f]) > 0, values[f]).alias(f"{name(f)}_values") for f, _ in types if f in several])

@@ -15,6 +15,7 @@ ids give equal labels (repeated records give repeated rows); other columns are i
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -99,11 +100,13 @@ def label_nodes(df: DataFrame, record: str, value: Column, max_depth: int = 8) -
         text = F.when(~nested | (F.lit(depth) == max_depth), F.coalesce(F.try_variant_get("_v", "$", "string"), F.when(~F.is_variant_null("_v"), F.to_json("_v"))))
         levels.append(at.select(record, "dewey", "parent", "path", kind.alias("kind"), text.alias("value")))
         if depth < max_depth:
-            at.createOrReplaceTempView("_swathline_nodes")
+            view = f"_swathline_{uuid.uuid4().hex}"
+            at.createOrReplaceTempView(view)
             # A generator call; the record never leaves its row.
             at = spark.sql(f"SELECT n.`{record}`, e.value AS _v, concat(n.dewey, '.', e.pos + 1) AS dewey, n.dewey AS parent, "
                            "concat(n.path, CASE WHEN e.key IS NULL THEN '[]' ELSE concat('.', e.key) END) AS path "
-                           "FROM _swathline_nodes n, LATERAL variant_explode(n._v) e")
+                           f"FROM {view} n, LATERAL variant_explode(n._v) e")
+            spark.catalog.dropTempView(view)
     out = levels[0]
     for more in levels[1:]:
         out = out.unionByName(more)

@@ -124,6 +124,11 @@ def p6_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.record_table(table(spark, sf_dir, "l2_records"), ["file_id", "rec_no"], "payload", table(spark, sf_dir, "field_names"))
 
 
+def p6_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each path of the payloads with its alternative JSON types and their counts."""
+    return drift.path_types(table(spark, sf_dir, "l2_records"), "payload")
+
+
 RECORD = "collection_id int, location_id bigint, time_s bigint, backscatter40 double, sm double, _order bigint"
 
 
@@ -156,7 +161,7 @@ m AS (SELECT collection_id, location_id, w, unnest(range(step + 1, nxt)) AS step
 
 QUERIES = {"p1_found": p1_found, "p1_flags": p1_flags, "p3_found": p3_found, "p3_series": p3_series,
            "p4_found": p4_found, "p4_records": _p4("records"), "p4_lines": _p4("lines"), "p4_nodes": _p4("nodes"), "p4_beams": _p4("beams"), "p4_aux": _p4("aux"),
-           "p5_found": p5_found, "p5_regions": p5_regions, "p6_found": p6_found, "p6_types": p6_types, "p6_branches": p6_branches, "p6_table": p6_table, "p7_found": p7_found}
+           "p5_found": p5_found, "p5_regions": p5_regions, "p6_found": p6_found, "p6_types": p6_types, "p6_branches": p6_branches, "p6_table": p6_table, "p6_paths": p6_paths, "p7_found": p7_found}
 _PLACES = """
 WITH p AS (SELECT DISTINCT location_id AS id, lat, lon FROM locations
            WHERE location_id IS NOT NULL AND lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 360 AND NOT isnan(lat) AND NOT isnan(lon))

@@ -263,7 +263,7 @@ def test_consistent_table(spark):
     tags = drift.tagged_fields(df, ["id"], "payload", names)
     types = {r["field"]: r["canonical_type"] for r in drift.union_types(tags).collect()}
     assert types == {"num": "decimal", "b": "text"}
-    wide = {r["id"]: (r["num"], r["b"]) for r in drift.consistent_table(tags, ["id"]).collect()}
+    wide = {r["id"]: (r["num"], r["b"]) for r in drift.record_table(df, ["id"], "payload", names).collect()}
     assert wide == {1: (4.0, "true"), 2: (5.5, "x"), 3: (None, None)}
 
 
