@@ -5,10 +5,10 @@ a file's field are fused by a combining aggregation, keeping each alternative ty
 canonical ones first. A field whose alternatives conflict keeps a typed branch for each and gets one canonical
 conversion, to the narrowest type that all its values convert to without loss.
 
-A file is one row with its fields' names and fused types. It is compared with the file before it in its stream: the
-rows of a shard of a stream among themselves, the first one of a shard with the last one of the shard before, found
-by a scan of the shards' end rows. Where the file before holds only nulls of a field, the type known before comes
-from the beginning of that run of nulls. Neither a stream's files nor a field's history is held by one task.
+Files of a stream are compared with the file before: a field of a file with the row before of its stream and field,
+which is either of the file before or tells that the field is new. Rows of a shard (``shard_span`` numbers of a stream)
+are compared among themselves; last rows and known types are carried over borders by a scan of one row a shard.
+Neither a stream's files nor a field's history is held by one task.
 
 Defined results: a payload that is NULL, empty or no JSON object has no fields (its file still counts); an
 unlisted name stands for itself; several names of one field in a file are a set, and sets are compared; of
@@ -24,7 +24,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from swathline.operators import flatten
-from swathline.operators.sharding import last_before
 from swathline.session import cut
 
 #: Tags from narrow to wide.
@@ -38,6 +37,8 @@ def kind_of(v: Column) -> Column:
     return (
         F.when(s == "VOID", F.lit(None).cast("string"))
         .when(s == "BIGINT", "integer")
+        .when(s == "STRING", "text")
+        .when(s.startswith("DECIMAL") & ~s.endswith(",0)"), "decimal")
         .when((whole != "") & (F.coalesce(whole.try_cast("int"), F.lit(0)) >= 19), "integer")
         .when(s.startswith("DECIMAL") | s.isin("DOUBLE", "FLOAT"), "decimal")
         .when(s == "BOOLEAN", "boolean")
@@ -86,58 +87,70 @@ def _fused(kinds: Column) -> Column:
     )
 
 
-def file_schemas(df: DataFrame, stream: str, seq: str, file: str, payload: str, names: DataFrame) -> DataFrame:
-    """One row a file: stream, seq, file, and ``fields``, a map from field to its names and fused type."""
+def file_fields(df: DataFrame, stream: str, seq: str, file: str, payload: str, names: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The files (stream, seq, file), and one row for each file and field: stream, seq, field, names, kind."""
     base = df.where(F.col(stream).isNotNull() & F.col(seq).isNotNull())
     base = base.select(F.col(stream).alias("stream"), F.col(seq).cast("bigint").alias("seq"), F.col(file).alias("file"), payload)
     tags = _exploded(base, ["stream", "seq", "file"], payload, outer=True)
     tags = tags.select("stream", "seq", "file", "name", F.when(F.col("name").isNotNull(), kind_of(F.col("_v"))).alias("kind"))
-    # A file's names and types are few; its records are combined before anything moves.
-    tags = _named(tags.groupBy("stream", "seq", "name", "kind").agg(F.min("file").alias("file")), names)
-    files = tags.groupBy("stream", "seq").agg(F.min("file").alias("file"), F.collect_list(F.when(F.col("name").isNotNull(), F.struct("field", "name", "kind"))).alias("_t"))
-    found = F.array_distinct(F.transform("_t", lambda t: t["field"]))
+    # A file's names and types are few; its records are combined before anything moves, and payloads are read once.
+    tags = cut(tags.groupBy("stream", "seq", "name", "kind").agg(F.min("file").alias("file")))
+    fields = _named(tags.where("name IS NOT NULL"), names).groupBy("stream", "seq", "field").agg(F.array_sort(F.collect_set("name")).alias("names"), _fused(F.collect_set("kind")).alias("kind"))
+    return tags.groupBy("stream", "seq").agg(F.min("file").alias("file")), fields
 
-    def of(f: Column) -> Column:
-        mine = F.filter("_t", lambda t: t["field"] == f)
-        kinds = F.array_distinct(F.filter(F.transform(mine, lambda t: t["kind"]), lambda k: k.isNotNull()))
-        return F.struct(F.array_sort(F.array_distinct(F.transform(mine, lambda t: t["name"]))).alias("names"), _fused(kinds).alias("kind"))
 
-    return files.select("stream", "seq", "file", F.map_from_arrays(found, F.transform(found, of)).alias("fields"))
+def _carried(rows: DataFrame, keys: list[str], ends: DataFrame) -> DataFrame:
+    """Rows with the columns of their shard's end row."""
+    at = {k: f"_e_{k}" for k in [*keys, "_shard"]}
+    same = F.lit(True)
+    for k, e in at.items():
+        same = same & F.col(k).eqNullSafe(F.col(e))
+    return rows.join(ends.withColumnsRenamed(at), same, "left").drop(*at.values())
 
 
-def _pairs(files: DataFrame, shard_span: int) -> DataFrame:
-    """Each file with the one before it in its stream: stream, seq, file, fields, and p (seq, file, fields; or NULL)."""
-    rows = files.withColumn("_shard", F.floor(F.col("seq") / shard_span).cast("bigint")).select("stream", "_shard", "seq", F.struct("file", "fields").alias("n"))
-    own = rows.withColumn("p", F.lag("n").over(Window.partitionBy("stream", "_shard").orderBy("seq"))).where("p IS NOT NULL")
-    ends = rows.groupBy("stream", "_shard").agg(F.min("seq").alias("seq"), F.min_by("n", "seq").alias("n"), F.max_by("n", "seq").alias("last"))
-    ends = ends.withColumn("p", F.lag("last").over(Window.partitionBy("stream").orderBy("_shard")))
-    return own.select("stream", "seq", "n", "p").unionByName(ends.select("stream", "seq", "n", "p"))
+def _neighbours(files: DataFrame, shard_span: int) -> DataFrame:
+    """Each file with the number before it and the number and id after it in its stream."""
+    me = F.struct("seq", "file")
+    rows = files.withColumn("_shard", F.floor(F.col("seq") / shard_span).cast("bigint"))
+    inside, over = Window.partitionBy("stream", "_shard").orderBy("seq"), Window.partitionBy("stream").orderBy("_shard")
+    ends = rows.groupBy("stream", "_shard").agg(F.min(me).alias("a"), F.max(me).alias("z"))
+    ends = ends.select("stream", "_shard", F.lag("z").over(over).alias("z"), F.lead("a").over(over).alias("a"))
+    rows = _carried(rows.withColumns({"p": F.lag(me).over(inside), "n": F.lead(me).over(inside)}), ["stream"], ends)
+    return rows.select("stream", "seq", "file", F.coalesce("p", "z")["seq"].alias("prev"), F.coalesce("n", "a").alias("next"))
 
 
 def schema_changes(df: DataFrame, stream: str, seq: str, file: str, payload: str, names: DataFrame, shard_span: int = 4096) -> DataFrame:
     """file id, field, change (added, removed, renamed, retyped) against the file before in the stream."""
-    files = cut(file_schemas(df, stream, seq, file, payload, names))  # payloads are read once, a row a file stays
-    now, was = F.col("n.fields"), F.col("p.fields")
-    none = F.array().cast("array<struct<field:string,change:string,kind:string>>")
-    row = lambda f, c, k=None: F.array(F.struct(f.alias("field"), F.lit(c).alias("change"), (F.lit(None).cast("string") if k is None else k).alias("kind")))
-
-    def of(f: Column) -> Column:
-        a, b = now[f], was[f]
-        kind, before = a["kind"], b["kind"]
-        return F.concat(
-            F.when(F.col("p").isNotNull() & b.isNull(), row(f, "added")).otherwise(none),
-            F.when(a["names"] != b["names"], row(f, "renamed")).otherwise(none),
-            F.when(kind != before, row(f, "retyped")).otherwise(none),
-            # A run of nulls begins, with the type known till then; and ends, with the type told then.
-            F.when(kind.isNull() & (b.isNull() | before.isNotNull()), row(f, "_begins", before)).otherwise(none),
-            F.when(kind.isNotNull() & b.isNotNull() & before.isNull(), row(f, "_ends", kind)).otherwise(none))
-
-    gone = F.transform(F.filter(F.map_keys(was), lambda f: now[f].isNull()), lambda f: F.struct(f.alias("field"), F.lit("removed").alias("change"), F.lit(None).cast("string").alias("kind")))
-    seen = F.concat(F.flatten(F.transform(F.map_keys(now), of)), F.coalesce(gone, none))
-    told = _pairs(files, shard_span).select("stream", "seq", F.col("n.file").alias("file"), F.explode(seen).alias("e")).select("stream", "seq", "file", "e.*")
-    runs = last_before(told.where(F.col("change").isin("_begins", "_ends")), ["stream", "field"], "seq", {"known": F.when(F.col("change") == "_begins", F.struct("kind"))}, shard_span)
-    late = runs.where((F.col("change") == "_ends") & (F.col("kind") != F.col("known.kind"))).select("file", "field", F.lit("retyped").alias("change"))
-    return told.where(~F.col("change").isin("_begins", "_ends")).select("file", "field", "change").unionByName(late).withColumnRenamed("file", file)
+    files, fields = file_fields(df, stream, seq, file, payload, names)
+    links = _neighbours(files, shard_span).withColumnsRenamed({"stream": "f_stream", "seq": "f_seq"})
+    rows = fields.join(links, (F.col("stream") == F.col("f_stream")) & (F.col("seq") == F.col("f_seq"))).drop("f_stream", "f_seq")
+    rows = cut(rows.withColumn("_shard", F.floor(F.col("seq") / shard_span).cast("bigint")))
+    keys = ["stream", "field"]
+    inside = Window.partitionBy(*keys, "_shard").orderBy("seq")
+    so_far, over = inside.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*keys).orderBy("_shard")
+    me = F.struct("seq", "names", "kind")
+    # What is known after a row: its type, or nothing where a field begins without one; NULL where it stays as it was.
+    known = lambda row, fresh: F.when(fresh | row["kind"].isNotNull(), F.struct(row["kind"].alias("kind")))
+    follows = lambda before, prev: before.isNotNull() & before["seq"].eqNullSafe(prev)
+    rows = rows.withColumn("p", F.lag(me).over(inside))
+    rows = rows.withColumn("_m", F.when(F.col("p").isNotNull(), known(me, ~follows(F.col("p"), F.col("prev")))))
+    rows = rows.withColumns({"_k": F.last("_m", ignorenulls=True).over(so_far), "_next": F.lead("seq").over(inside)})
+    ends = rows.groupBy(*keys, "_shard").agg(
+        F.min_by(F.struct("seq", "kind", "prev"), "seq").alias("a"), F.max_by(me, "seq").alias("z"), F.max_by("_m", F.when(F.col("_m").isNotNull(), F.col("seq"))).alias("m"))
+    ends = ends.withColumns({"_p": F.lag("z").over(over), "_n": F.lead("a").over(over)["seq"]})
+    ends = ends.withColumn("_first", known(F.col("a"), ~follows(F.col("_p"), F.col("a.prev"))))
+    ends = ends.withColumn("_c", F.last(F.coalesce("m", "_first"), ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1)))
+    rows = _carried(rows, keys, ends.select(*keys, "_shard", "_p", "_n", "_first", "_c"))
+    before = F.coalesce("p", "_p")
+    same = follows(before, F.col("prev"))
+    # The first row of a shard is known to its followers by its own state, if it has one.
+    state = F.when(F.col("p").isNull(), F.col("_c")).otherwise(F.coalesce("_k", "_first", "_c"))
+    mark = lambda cond, what, f: F.when(cond, F.struct(f.alias("file"), F.lit(what).alias("change")))
+    last = F.col("next").isNotNull() & ~F.coalesce("_next", "_n").eqNullSafe(F.col("next")["seq"])
+    change = F.array_compact(F.array(
+        mark(F.col("prev").isNotNull() & ~same, "added", F.col("file")), mark(same & (F.col("names") != before["names"]), "renamed", F.col("file")),
+        mark(same & (F.col("kind") != state["kind"]), "retyped", F.col("file")), mark(last, "removed", F.col("next")["file"])))
+    return rows.select("field", F.explode(change).alias("_c")).select(F.col("_c.file").alias(file), "field", F.col("_c.change").alias("change"))
 
 
 def union_types(tags: DataFrame) -> DataFrame:
