@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -22,8 +22,10 @@ AGGREGATES = {
 }
 
 
-def aggregate_column(name: str, value: Column, order: Column, q: float = 0.5, position: Column | None = None) -> Column:
-    """An aggregate by name; ``argmin`` and ``argmax`` give ``position`` of the extreme (earliest on ties)."""
+def aggregate_column(name: str | Callable[[Column, Column], Column], value: Column, order: Column, q: float = 0.5, position: Column | None = None) -> Column:
+    """An aggregate by name, or a caller's function of (value, order); ``argmin`` and ``argmax`` give ``position`` of the extreme (earliest on ties)."""
+    if callable(name):
+        return name(value, order)
     if name == "quantile":
         return F.percentile(value, q)
     if name in ("argmin", "argmax"):
@@ -80,8 +82,10 @@ def time_steps(df: DataFrame, time_us: Column, start_us: int, step_us: int, end_
     return rows.withColumn("step_no", F.explode(steps)).where(F.col("step_no") <= last).drop("_t")
 
 
-def by_step(df: DataFrame, keys: Sequence[str], values: Sequence[str], how: str, order: Column, **options) -> DataFrame:
-    """Aggregate values per key; groups whose values are all NULL stay."""
+def by_step(df: DataFrame, keys: Sequence[str], values: Sequence[str], how: str | Callable | None, order: Column, **options) -> DataFrame:
+    """Aggregate values per key; groups whose values are all NULL stay. ``how`` None passes the rows through."""
+    if how is None:
+        return df.select(*keys, *values)
     return df.groupBy(*keys).agg(*[aggregate_column(how, F.col(v), order, **options).alias(v) for v in values])
 
 
@@ -90,8 +94,26 @@ def nested_mean(df: DataFrame, inner: Sequence[str], outer: Sequence[str], value
     return df.groupBy(*inner).agg(F.avg(value).alias(value)).groupBy(*outer).agg(F.avg(value).alias(value))
 
 
-def by_calendar(df: DataFrame, keys: Sequence[str], time: str, period: str, value: str, how: str = "mean") -> DataFrame:
+def by_calendar(df: DataFrame, keys: Sequence[str], time: str, period: str, value: str, how: str | Callable = "mean") -> DataFrame:
     """Aggregate by calendar period (month, year, ...), named by its last day."""
     start = F.date_trunc(period, F.col(time))
     end = F.last_day(F.col(time)) if period == "month" else F.to_date(start)
     return df.withColumn("period_end", end).groupBy(*keys, "period_end").agg(aggregate_column(how, F.col(value), F.col(time)).alias(value))
+
+
+def dense_months(df: DataFrame, keys: Sequence[str], time: str, value: str, how: str | Callable = "mean", coords: Sequence[str] = ()) -> DataFrame:
+    """``by_calendar`` by month with a row for every group and every month between the first and the last of all rows.
+
+    ``coords``: columns of the group that are no keys; of several values the largest. Months are at most a few
+    thousand, so each group is given the axis and explodes it by itself.
+    """
+    at = F.trunc(F.col(time), "month")
+    cell = df.groupBy(*keys, at.alias("_m")).agg(aggregate_column(how, F.col(value), F.col(time)).alias(value), *[F.max(c).alias(c) for c in coords])
+    span = df.agg(F.min(at).alias("_a"), F.max(at).alias("_z"))
+    groups = cell.groupBy(*keys).agg(*[F.max(c).alias(c) for c in coords], F.count(F.lit(1)).alias("_n")).drop("_n")
+    grid = groups.join(F.broadcast(span), F.lit(True)).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *coords, F.explode(F.sequence("_a", "_z", F.expr("INTERVAL 1 MONTH"))).alias("_g"))
+    same = F.col("_g") == F.col("_m")
+    for i, k in enumerate(keys):
+        same = same & F.col(f"_k{i}").eqNullSafe(F.col(k))
+    out = grid.join(cell.drop(*coords), same, "left")
+    return out.select(*[F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)], *coords, F.last_day("_g").alias("period_end"), value)

@@ -159,3 +159,20 @@ def append(obs: DataFrame, loc: DataFrame, more_obs: DataFrame, more_loc: DataFr
     index = ranked(merged, key).withColumnRenamed(key, "_k")
     new_obs = points.join(index, F.col(key) == F.col("_k")).drop("_k", key)
     return new_obs, merged.join(index, F.col(key) == F.col("_k")).drop("_k")
+
+
+def merge_orthogonal(a: DataFrame, b: DataFrame, key: str, element: str, fields: Sequence[str]) -> DataFrame:
+    """Two dense sets as one over all instances and elements of either; where both have a cell the first one's value
+    that is not NULL counts. Cells of neither are not made up: ``to_orthogonal`` fills them in."""
+    both = a.select(key, element, F.lit(0).alias("_s"), *fields).unionByName(b.select(key, element, F.lit(1).alias("_s"), *fields))
+    return both.groupBy(key, element).agg(*[F.min_by(f, F.when(F.col(f).isNotNull(), F.col("_s"))).alias(f) for f in fields])
+
+
+def only_locations(df: DataFrame, key: str, instance_vars: Sequence[str]) -> DataFrame:
+    """The instances alone, without observations; the smallest value where an instance has several."""
+    return df.groupBy(key).agg(*[F.min(v).alias(v) for v in instance_vars]) if instance_vars else df.select(key).distinct()
+
+
+def only_observations(df: DataFrame, instance_vars: Sequence[str]) -> DataFrame:
+    """The observations without what belongs to their instance."""
+    return df.drop(*instance_vars)

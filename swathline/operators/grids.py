@@ -102,6 +102,16 @@ def lookup_table(targets: DataFrame, target: str, sources: DataFrame, source: st
         radius *= 6
 
 
+def stored_lookup_table(path: str, targets: DataFrame, target: str, sources: DataFrame, source: str) -> DataFrame:
+    """The lookup table kept at ``path``; made and written there the first time (a writer that fails leaves no table:
+    only a folder with Spark's mark of success is read)."""
+    spark = targets.sparkSession
+    mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark):
+        lookup_table(targets, target, sources, source).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def regrid(lut: DataFrame, target: str, source: str, obs: DataFrame, key: str, values: list[str], order: list[str]) -> DataFrame:
     """The last observation of each target's source; targets without one are NULL."""
     last = obs.groupBy(F.col(key).alias("_k")).agg(F.max_by(F.struct(*values), F.struct(*order)).alias("_v"))

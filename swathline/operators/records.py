@@ -33,3 +33,13 @@ def warnings(topo: Column, wetland: Column, limit: float = 50) -> dict[str, Colu
 
 def land_only(grid: DataFrame, flag: str = "land_flag") -> DataFrame:
     return grid.where(F.col(flag) == 1)
+
+
+#: Scale factors of the soil water index and of its quality flags.
+INDEX_SCALE = {"swi": 0.5, "flag": 0.5, "ssf": 1.0}
+
+
+def scaled_index(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Stored counts as values, where the reader has not scaled them: ``SWI*`` and ``QFLAG*`` by one half, others as they are."""
+    of = lambda c: INDEX_SCALE["swi"] if c.upper().startswith("SWI") else INDEX_SCALE["flag"] if c.upper().startswith("QFLAG") else INDEX_SCALE["ssf"]
+    return df.withColumns({c: F.col(c) * of(c) for c in columns})

@@ -46,9 +46,22 @@ def between(c: Column, low, high, closed: str = "closed") -> Column:
     raise ValueError(f"closed, left or open, not {closed!r}")
 
 
-def in_period(df: DataFrame, start, end, time: str = "time", closed: str = "closed") -> DataFrame:
+def in_period(df: DataFrame, start, end, time: str = "time", closed: str = "closed", margin_s: int = 0) -> DataFrame:
+    """Rows of a period, widened by a margin on both sides (older swath lists take 900 seconds)."""
     kind = dict(df.dtypes)[time]
-    return df.where(between(F.col(time), F.lit(str(start)).cast(kind), F.lit(str(end)).cast(kind), closed))
+    margin = F.make_dt_interval(secs=F.lit(float(margin_s)))
+    low, high = F.lit(str(start)).cast(kind), F.lit(str(end)).cast(kind)
+    return df.where(between(F.col(time), low - margin if margin_s else low, high + margin if margin_s else high, closed))
+
+
+def by_satellite(df: DataFrame, satellites: str, letter: str = "sat") -> DataFrame:
+    """Rows of the satellites a file pattern names: ``A``, ``[AB]`` or ``*``; rows without a letter only for ``*``."""
+    return df if satellites == "*" else df.where(F.col(letter).rlike(f"^{satellites}$"))
+
+
+def contains_ids(df: DataFrame, group: str, ids: Sequence[int], key: str = "location_id") -> DataFrame:
+    """Whether any of the ids occurs in each group (a file, say): group, found."""
+    return df.groupBy(group).agg(F.coalesce(F.bool_or(F.col(key).isin(list(ids))), F.lit(False)).alias("found"))
 
 
 def in_roi(df: DataFrame, roi: Roi, lat: str = "lat", lon: str = "lon") -> DataFrame:

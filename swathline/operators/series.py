@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from swathline.operators import convert, select
@@ -82,6 +83,41 @@ class Series:
         values = [f for f in self.fields if f != element]
         return replace(self, data=convert.to_orthogonal(self.to_point().data, self.key, element, values, strict=strict), kind="orthogonal", fields=tuple(values), places=None, instance_vars=())
 
+    def save(self, path: str) -> None:
+        """Write an indexed set: observations, places and what the handle knows; ValueError for other formats."""
+        if not path.endswith(".parquet"):
+            raise ValueError(f"a set is saved as .parquet, not {path}")
+        me = self.to_indexed()
+        spark = me.data.sparkSession
+        me.data.write.mode("overwrite").parquet(f"{path}/observations")
+        me.places.write.mode("overwrite").parquet(f"{path}/places")
+        told = {"key": me.key, "fields": me.fields, "sort": me.sort, "instance_vars": me.instance_vars}
+        spark.createDataFrame([(json.dumps(told),)], "told string").coalesce(1).write.mode("overwrite").text(f"{path}/told")
+
+    @staticmethod
+    def from_file(spark: SparkSession, path: str) -> Series:
+        if not path.endswith(".parquet"):
+            raise ValueError(f"a set is saved as .parquet, not {path}")
+        told = json.loads(spark.read.text(f"{path}/told").first()[0])
+        lists = {k: tuple(told[k]) for k in ("fields", "sort", "instance_vars")}
+        return Series(spark.read.parquet(f"{path}/observations"), "indexed", told["key"], places=spark.read.parquet(f"{path}/places"), **lists)
+
+    @staticmethod
+    def detect(data: DataFrame, key: str, element: str = "time") -> str:
+        """The kind of a table by its columns: RuntimeError if it is none."""
+        has = set(data.columns)
+        if "location_index" in has:
+            return "indexed"
+        if key not in has:
+            raise RuntimeError(f"neither location_index nor {key} is there")
+        if "series" in has:
+            return "contiguous"
+        if "row_size" in has:
+            return "incomplete"
+        if element not in has:
+            raise RuntimeError(f"no {element}: the table has no observations")
+        return "point"
+
     def sel(self, ids: DataFrame | Sequence[int]) -> Series:
         """Instances by id, in any form; absent ids are ignored."""
         if self.kind == "indexed":

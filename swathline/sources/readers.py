@@ -82,3 +82,14 @@ class CellTable(GridTable):
 
     def _prune(self, df: DataFrame, points: DataFrame) -> DataFrame:
         return select.by_cells(df, self.cells(points))
+
+    def read_series(self, location_id: int, variables: Sequence[str] | None = None) -> DataFrame:
+        """One location's series in order of time, of the given variables; only its cell's folder is read."""
+        df = self.read(location_ids=[location_id]).orderBy(self.time)
+        return df.select(self.key, self.time, *variables) if variables else df
+
+
+class DenseTable(CellTable):
+    """Cell folders of dense sets (every location has every time): periods are closed."""
+
+    closed = "closed"
