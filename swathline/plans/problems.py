@@ -166,7 +166,57 @@ _PLACES = """
 WITH p AS (SELECT DISTINCT location_id AS id, lat, lon FROM locations
            WHERE location_id IS NOT NULL AND lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 360 AND NOT isnan(lat) AND NOT isnan(lon))
 """
+_EPS = r"""
+WITH j AS (SELECT rec_id, CASE WHEN json_valid(raw) THEN raw::JSON END AS j FROM eps_products),
+b AS (SELECT rec_id, CASE json_type(j, '$.PRODUCT') WHEN 'VARCHAR' THEN CASE WHEN json_valid(j ->> '$.PRODUCT') THEN (j ->> '$.PRODUCT')::JSON END
+  WHEN 'OBJECT' THEN j -> '$.PRODUCT' ELSE j END AS v FROM j WHERE json_type(j) = 'OBJECT'),
+e AS (SELECT rec_id, v, unnest(CASE WHEN json_type(v, '$.MPHR') = 'ARRAY' THEN from_json(v -> '$.MPHR', '["JSON"]') ELSE [NULL::JSON] END) AS e FROM b),
+""" + "h AS (SELECT rec_id, " + ", ".join(
+    rf"""max(nullif(upper(trim(CASE json_type(v, '$.MPHR') WHEN 'OBJECT' THEN v ->> '$.MPHR.{n}'
+    WHEN 'ARRAY' THEN CASE WHEN e ->> '$.key' = '{n}' THEN e ->> '$.value' END
+    ELSE regexp_extract(v ->> '$.MPHR', '(?:^|\n){n} *= *([^\n]*)', 1) END)), '')) AS {n}"""
+    for n in ("PRODUCT_TYPE", "FORMAT_MAJOR_VERSION", "SPACECRAFT_ID", *[x.upper() for x in EPS_HEADER])) + """,
+  max(CASE WHEN json_type(v, '$.SPHR.N_LINES') IN ('BIGINT', 'UBIGINT') THEN (v ->> '$.SPHR.N_LINES')::BIGINT END) AS n_lines FROM e GROUP BY rec_id),
+r AS (SELECT rec_id, coalesce(PRODUCT_TYPE, 'NONE') AS product_type, try_cast(FORMAT_MAJOR_VERSION AS INT) AS format_major_version, SPACECRAFT_ID AS spacecraft_id FROM h),
+""" + ",\n".join(
+    f"""{t} AS (SELECT rec_id, unnest(l) AS v, generate_subscripts(l, 1) AS no, dewey AS parent, dewey || '.' || generate_subscripts(l, 1) AS dewey FROM (
+  SELECT rec_id, {d} AS dewey, CASE json_type(v, '$.{n}') WHEN 'ARRAY' THEN from_json(v -> '$.{n}', '["JSON"]') WHEN 'OBJECT' THEN [v -> '$.{n}'] ELSE [] END AS l FROM {f}))"""
+    for t, n, f, d in (("m", "MDR", "b", "'1'"), ("n", "NODES", "m", "dewey"), ("k", "BEAMS", "n", "dewey"), ("x", "SPHR.AUX", "b", "'1'")))
+
+
+def _flat_sql(level: flatten.Level, rows: str) -> str:
+    kinds = {"bigint": ("BIGINT", "'BIGINT', 'UBIGINT'"), "int": ("INT", "'BIGINT', 'UBIGINT'"), "double": ("DOUBLE", "'BIGINT', 'UBIGINT', 'DOUBLE'"), "string": ("VARCHAR", "'VARCHAR'")}
+    cols = "".join(f", CASE WHEN json_type(v, '{path}') IN ({kinds[k][1]}) THEN (v ->> '{path}')::{kinds[k][0]} END AS {c}" for c, (path, k) in level.columns.items())
+    return _EPS + f"SELECT rec_id, dewey, parent, product_type, format_major_version, spacecraft_id{cols} FROM {rows} JOIN r USING (rec_id) WHERE json_type(v) = 'OBJECT'"
+
+
+_TAGS = """
+WITH r AS (SELECT file_id, rec_no, CASE WHEN json_valid(payload) THEN payload::JSON END AS p FROM l2_records),
+k AS (SELECT file_id, rec_no, p, unnest(json_keys(p)) AS name FROM r WHERE json_type(p) = 'OBJECT'),
+t AS (SELECT file_id, rec_no, name, coalesce(canonical, name) AS field, json_type(p, '$."' || name || '"') AS j, p ->> ('$."' || name || '"') AS value FROM k LEFT JOIN field_names ON field_name = name),
+u AS (SELECT file_id, rec_no, field, name, value, CASE WHEN j IN ('BIGINT', 'UBIGINT', 'HUGEINT') THEN 'integer' WHEN j = 'DOUBLE' THEN 'decimal' WHEN j = 'BOOLEAN' THEN 'boolean' WHEN j = 'NULL' THEN NULL ELSE 'text' END AS kind FROM t),
+y AS (SELECT field, count(*) FILTER (kind = 'boolean') AS n_boolean, count(*) FILTER (kind = 'integer') AS n_integer, count(*) FILTER (kind = 'decimal') AS n_decimal, count(*) FILTER (kind = 'text') AS n_text,
+  count(*) FILTER (kind IS NULL) AS n_null,
+  CASE WHEN count(kind) = 0 THEN NULL WHEN count(*) FILTER (kind IS NOT NULL AND lower(value) IN ('true', 'false')) = count(kind) THEN 'boolean'
+    WHEN count(*) FILTER (kind IS NOT NULL AND regexp_full_match(value, '[+-]?[0-9]{1,18}')) = count(kind) THEN 'integer'
+    WHEN count(*) FILTER (kind IS NOT NULL AND try_cast(value AS DOUBLE) IS NOT NULL) = count(kind) THEN 'decimal' ELSE 'text' END AS canonical_type FROM u GROUP BY field)
+"""
 SQL: dict[str, str] = {
+    "p4_records": _EPS + "SELECT rec_id, '1' AS dewey, NULL::VARCHAR AS parent, r.product_type, r.format_major_version, r.spacecraft_id, " + ", ".join(
+        f"try_cast(h.{n.upper()} AS {t.upper().replace('STRING', 'VARCHAR')}) AS {n}" for n, t in EPS_HEADER.items()) + ", h.n_lines FROM h JOIN r USING (rec_id)",
+    **{f"p4_{lv.table}": _flat_sql(lv, rows) for lv, rows in zip((*EPS_LEVELS, EPS_AUX), "mnkx", strict=True)},
+    "p6_types": _TAGS + "SELECT * FROM y",
+    "p6_branches": _TAGS + """
+SELECT file_id, rec_no, field, name, kind, canonical_type, CASE WHEN kind = 'integer' THEN value::BIGINT END AS as_integer, CASE WHEN kind = 'decimal' THEN value::DOUBLE END AS as_decimal,
+  CASE WHEN kind = 'boolean' THEN value::BOOLEAN END AS as_boolean, CASE WHEN kind = 'text' THEN value END AS as_text,
+  CASE WHEN kind IS NOT NULL AND canonical_type IN ('integer', 'decimal') THEN try_cast(value AS DOUBLE) END AS number,
+  CASE WHEN kind IS NOT NULL AND canonical_type = 'boolean' THEN try_cast(value AS BOOLEAN) END AS truth, CASE WHEN kind IS NOT NULL AND canonical_type = 'text' THEN value END AS text
+FROM u JOIN y USING (field)""",
+    "p6_paths": """
+WITH r AS (SELECT payload::JSON AS p FROM l2_records WHERE json_valid(payload)),
+k AS (SELECT p, unnest(json_keys(p)) AS name FROM r WHERE json_type(p) = 'OBJECT'),
+t AS (SELECT '$' AS path, json_type(p) AS j, NULL AS v FROM r UNION ALL SELECT '$.' || name, json_type(p, '$."' || name || '"'), p ->> ('$."' || name || '"') FROM k)
+SELECT path, CASE WHEN j IN ('UBIGINT', 'BIGINT') THEN 'BIGINT' WHEN j = 'VARCHAR' THEN 'STRING' WHEN j = 'NULL' THEN 'VOID' WHEN j = 'DOUBLE' THEN 'DECIMAL' ELSE j END AS kind, count(*) AS n FROM t GROUP BY ALL""",
     "p4_found": r"""
 WITH j AS (SELECT rec_id, CASE WHEN json_valid(raw) THEN raw::JSON END AS j FROM eps_products),
 b AS (SELECT rec_id, CASE json_type(j, '$.PRODUCT') WHEN 'VARCHAR' THEN CASE WHEN json_valid(j ->> '$.PRODUCT') THEN (j ->> '$.PRODUCT')::JSON END

@@ -341,22 +341,26 @@ def _bytes():
 
 
 _BYTE_SQL = {n: f"((obs_id * {3 + 2 * i}) % {m + 1})" for i, (n, m) in enumerate(_BYTES.items())}
+# Fixed values, written out here so that the SQL does not take them from what it tests: severities by bit, places of bits, radius.
+_SEVERITY = {'rf1': [1, 1, 2, 1, 2], 'rf2': [2, 2], 'pl': [2, 2, 2, 2], 'gen1': [0, 2], 'gen2': [1, 0, 2]}
+_SEVERITY_13 = [1, 1, 2, 1, 2, 2, 2, 1, 2, 2, 2, 0, 1, 2, 0, 1, 0, 2, 0, 0]
+_PLACES_13 = {'rf1': {0: 0, 1: 1, 2: 2, 3: 3, 4: 4}, 'rf2': {0: 5, 1: 6, 2: 7}, 'pl': {1: 8, 2: 9, 3: 10, 4: 11}, 'gen1': {0: 12, 1: 13, 6: 14}, 'gen2': {0: 15, 1: 16, 2: 17, 3: 18}}
+_HAM = 23.68706744208165
 _bit = lambda c, b: f"(({c} >> {b}) & 1)"
-query("flags_severity", "SELECT obs_id, greatest(0, " + ", ".join(f"{_bit(_BYTE_SQL[n], b)} * {v}" for n, vs in flags.SEVERITY.items() for b, v in enumerate(vs)) + ")::INT AS severity FROM o")(
+query("flags_severity", "SELECT obs_id, greatest(0, " + ", ".join(f"{_bit(_BYTE_SQL[n], b)} * {v}" for n, vs in _SEVERITY.items() for b, v in enumerate(vs)) + ")::INT AS severity FROM o")(
     lambda s, d: obs(s, d).select("obs_id", flags.severity(_bytes()).alias("severity")))
-query("flags_severity_ignore_noise", "SELECT obs_id, greatest(0, " + ", ".join(f"{_bit(_BYTE_SQL[n], b)} * {v}" for n, vs in flags.SEVERITY.items() for b, v in enumerate(vs) if (n, b) != ("rf2", 1)) + ")::INT AS severity FROM o")(
+query("flags_severity_ignore_noise", "SELECT obs_id, greatest(0, " + ", ".join(f"{_bit(_BYTE_SQL[n], b)} * {v}" for n, vs in _SEVERITY.items() for b, v in enumerate(vs) if (n, b) != ("rf2", 1)) + ")::INT AS severity FROM o")(
     lambda s, d: obs(s, d).select("obs_id", flags.severity(_bytes(), True).alias("severity")))
-query("flags_severity_13", "SELECT obs_id, greatest(0, " + ", ".join(f"{_bit('((obs_id * 7919) % 1048576)', b)} * {v}" for b, v in enumerate(flags.SEVERITY_13)) + ")::INT AS severity FROM o")(
+query("flags_severity_13", "SELECT obs_id, greatest(0, " + ", ".join(f"{_bit('((obs_id * 7919) % 1048576)', b)} * {v}" for b, v in enumerate(_SEVERITY_13)) + ")::INT AS severity FROM o")(
     lambda s, d: obs(s, d).select("obs_id", flags.severity_13(F.pmod(F.col("obs_id") * 7919, F.lit(1048576))).alias("severity")))
-query("flags_remap", "SELECT obs_id, (" + " + ".join(f"{_bit(_BYTE_SQL[n], a)} * {1 << b}" for n, t in flags.REMAP.items() for a, b in t.items()) + ")::BIGINT AS field FROM o")(
+query("flags_remap", "SELECT obs_id, (" + " + ".join(f"{_bit(_BYTE_SQL[n], a)} * {1 << b}" for n, t in _PLACES_13.items() for a, b in t.items()) + ")::BIGINT AS field FROM o")(
     lambda s, d: obs(s, d).select("obs_id", flags.flag_field(_bytes()).alias("field")))
 query("bit_get_set", "SELECT obs_id, ((proc_flag1 >> 2) & 1)::INT AS bit3, (proc_flag1::BIGINT | 16) AS set5, (proc_flag1::BIGINT & ~1) AS clear1 FROM o WHERE proc_flag1 IS NOT NULL")(
     lambda s, d: obs(s, d).dropna(subset=["proc_flag1"]).select("obs_id", scalars.get_bit(F.col("proc_flag1"), 3).alias("bit3"), scalars.set_bit(F.col("proc_flag1"), 5).alias("set5"), scalars.set_bit(F.col("proc_flag1"), 1, 0).alias("clear1")))
 query("db_lin_roundtrip", "SELECT obs_id, round(pow(10.0, f / 10), 9) AS lin, CASE WHEN noise > 0 THEN round(10 * log10(noise), 6) END AS noise_db FROM o WHERE abs(f) < 50")(
     lambda s, d: obs(s, d).where("abs(f) < 50").select("obs_id", F.round(scalars.db2lin(F.col("f")), 9).alias("lin"), F.round(scalars.lin2db(F.col("noise")), 6).alias("noise_db")))
-_HAM = scalars.window_radius("hamming", 12.5)
 query("window_weights_hamming", f"SELECT gpi, round(w / sum(w) OVER (PARTITION BY cell), 8) AS weight FROM (SELECT gpi, cell, 0.54 + 0.46 * cos({3.141592653589793 / _HAM!r} * (gpi % 25)) AS w FROM g)")(
-    lambda s, d: grid(s, d).withColumn("w", scalars.window_weight("hamming", _HAM, F.col("gpi") % 25)).select("gpi", F.round(scalars.normalised(F.col("w"), "cell"), 8).alias("weight")))
+    lambda s, d: grid(s, d).withColumn("w", scalars.window_weight("hamming", scalars.window_radius("hamming", 12.5), F.col("gpi") % 25)).select("gpi", F.round(scalars.normalised(F.col("w"), "cell"), 8).alias("weight")))
 query("window_weights_boxcar", "SELECT gpi, CASE WHEN gpi % 25 <= 12.5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS weight FROM g")(
     lambda s, d: grid(s, d).select("gpi", scalars.window_weight("boxcar", 12.5, F.col("gpi") % 25).alias("weight")))
 query("cds_time", "SELECT obs_id, TIMESTAMP '2000-01-01' + to_days((obs_id % 3000)::INT) + to_milliseconds((obs_id * 977) % 86400000) AS t, round(2451544.5 + obs_id % 3000 + ((obs_id * 977) % 86400000) / 86400000.0, 6) AS jd FROM o")(
