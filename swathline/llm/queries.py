@@ -60,4 +60,19 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p2_found": p2_found, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_pages": p10_pages}
-SQL: dict[str, str] = {}
+_GREEDY = """
+WITH RECURSIVE r AS (
+  SELECT collection_id AS k0, location_id AS k1, epoch_us("time") AS t, coalesce(dupe_window_s, 600)::BIGINT * 1000000 AS w, obs_id AS id,
+    row_number() OVER (PARTITION BY collection_id, location_id ORDER BY obs_id, "time") AS n
+  FROM observations LEFT JOIN cell_collections USING (collection_id)
+  WHERE collection_id IS NOT NULL AND location_id IS NOT NULL AND obs_id IS NOT NULL AND "time" IS NOT NULL AND "time" <> TIMESTAMP '1970-01-01'),
+g AS (
+  SELECT k0, k1, t, w, id, n, true AS accepted, [t] AS kept FROM r WHERE n = 1
+  UNION ALL
+  SELECT k0, k1, t, w, id, n, ok, CASE WHEN ok THEN list_append(kept, t) ELSE kept END FROM (
+    SELECT r.*, g.kept, len(list_filter(g.kept, lambda x: abs(x - r.t) < r.w)) = 0 AS ok FROM g JOIN r ON r.k0 = g.k0 AND r.k1 = g.k1 AND r.n = g.n + 1))
+"""
+SQL: dict[str, str] = {
+    "p2_decisions": _GREEDY + "SELECT k0, k1, t, w, id, accepted FROM g",
+    "p2_found": _GREEDY + "SELECT id AS obs_id FROM g WHERE NOT accepted",
+}
