@@ -6,8 +6,8 @@ of an edge of at least twice the radius: ranges of codes that share a prefix. Th
 equi-join on sorted prefixes; each candidate pair meets in exactly one cube and is then refined by its
 great-circle distance. Space cubes need no special case at the poles or the date line.
 
-Cubes with more than ``max_cell_rows`` points are salted: their points are spread over parts and the discs that
-touch them are sent to each part.
+Cubes with more than ``max_cell_rows`` points are salted on both sides: points and discs are each spread over parts,
+and every part of the one meets every part of the other, so that a task compares about ``max_cell_rows`` with as many.
 
 ``containing_region``: boxes in degrees are covered by quadtree cells of the level where a box spans about
 ``2`` cells, points look up their cell of each level in use, then the box itself decides.
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RADIUS_M = 6_371_000.0
-MAX_CELL_ROWS = 20_000
+MAX_CELL_ROWS = 5_000
 _BITS = 21
 
 
@@ -100,9 +100,12 @@ def within_distance(df: DataFrame, point: str, lat: str, lon: str, radius_m: flo
     full = home.groupBy(F.col("code_b").alias("hot")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_cell_rows)
     if not full.isEmpty():
         full = full.select("hot", F.ceil(F.col("n") / max_cell_rows).cast("int").alias("parts"))
-        home = home.join(full, F.col("code_b") == F.col("hot"), "left").withColumn("salt_b", F.pmod(F.xxhash64("id_b", "lat_b", "lon_b"), F.coalesce("parts", F.lit(1)))).drop("hot", "parts")
-        disc = disc.join(full, F.col("code_a") == F.col("hot"), "left").withColumn("salt_a", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("hot", "parts")
-        on = on & (F.col("salt_a") == F.col("salt_b"))
+        n = F.coalesce("parts", F.lit(1))
+        every = F.explode(F.sequence(F.lit(0), n - 1))
+        own = lambda side: F.pmod(F.xxhash64(f"id_{side}", f"lat_{side}", f"lon_{side}"), n).cast("int")
+        home = home.join(full, F.col("code_b") == F.col("hot"), "left").withColumn("point_b", own("b")).withColumn("disc_b", every).drop("hot", "parts")
+        disc = disc.join(full, F.col("code_a") == F.col("hot"), "left").withColumn("disc_a", own("a")).withColumn("point_a", every).drop("hot", "parts")
+        on = on & (F.col("point_a") == F.col("point_b")) & (F.col("disc_a") == F.col("disc_b"))
     pairs = disc.join(home, on & (F.col("id_a") < F.col("id_b")))
     far = great_circle(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b"))
     return pairs.withColumn("distance_m", far).where(F.col("distance_m") <= radius_m).select(F.col("id_a").alias(f"{point}_a"), F.col("id_b").alias(f"{point}_b"), "distance_m")

@@ -8,6 +8,9 @@ source far from its median may jump back to it); one to three successive reading
 away from the clean readings on both sides are additive outliers and leave the series; a candidate whose
 successors stay at its level is a level shift and moves the series' level; tests go on until nothing changes.
 
+Whether a reading is a spike depends on its scatter and its clean neighbours alone (a candidate that is no jump of ten
+scatters is never one), so medians and levels, which differ between a source and its chunks, change no result.
+
 Sources are spread by key. One that holds more than ``MAX_GROUP_ROWS`` rows is cut into range-sorted chunks;
 the exact median step then comes from the steps in one bin of merged step histograms, its runs and neighbours across chunk
 borders from a scan over the chunks' small border summaries.
@@ -319,15 +322,12 @@ def _scan(borders: list[tuple[int, list]], stats: dict, n_fields: int) -> dict:
     return context
 
 
-def _chunk(keys: Sequence[str], fields: Sequence[tuple[str, float, float]], context: dict):
-    """Sorted chunk with the carried states of its border sources."""
+def _chunk(keys: Sequence[str], fields: Sequence[tuple[str, float, float]]):
+    """A chunk with the carried states of its border sources, which come in a row of their own."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = list(batches)
-        if not parts:
-            return
-        pdf = pd.concat(parts, ignore_index=True)
-        chunk = int(pdf["_chunk"].iloc[0])
+    def run(pdf: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([*keys, "_t", "_id"], kind="stable", ignore_index=True)
+        chunk, context, out = int(pdf["_chunk"].iloc[0]), pickle.loads(states["body"].iloc[0]), []  # noqa: S301
         cols = [pdf[k].to_numpy() for k in keys]
         new = _starts(len(pdf), cols)
         seg_all = np.cumsum(new) - 1
@@ -372,7 +372,8 @@ def _chunk(keys: Sequence[str], fields: Sequence[tuple[str, float, float]], cont
             found = spikes(gs, gx, scatter, phi)
             spike[fair] = found[len(head) : len(head) + len(fair)]
             stuck = (lengths >= STUCK) & other[seg]
-            yield _frame(name, rec, x, impossible, stuck, spike, scatter[seg])
+            out.append(_frame(name, rec, x, impossible, stuck, spike, scatter[seg]))
+        return pd.concat(out)
 
     return run
 
@@ -488,4 +489,9 @@ def implausible_readings(
     borders = sorted((r["chunk"], pickle.loads(r["body"])) for r in told.where("kind = 0").select("chunk", "body").collect())  # noqa: S301
     stats = _merged_stats(told.where("kind = 1"), chunks, cols, borders, len(fields))
     told.unpersist()
-    return found.unionByName(chunks.mapInPandas(_chunk(cols, limits, _scan(borders, stats, len(fields))), _OUT))
+    states: dict[int, dict] = {c: {} for c, _ in borders}
+    for at, state in _scan(borders, stats, len(fields)).items():
+        states[at[0]][at] = state
+    states_ = df.sparkSession.createDataFrame([(c, bytearray(pickle.dumps(s))) for c, s in states.items()], "chunk int, body binary")
+    # Each chunk meets its own row only.
+    return found.unionByName(chunks.groupBy("_chunk").cogroup(states_.groupBy("chunk")).applyInPandas(_chunk(cols, limits), _OUT))

@@ -122,6 +122,15 @@ def test_series_fill(spark):
         gapfill.regular_series(df, ["s"], F.col("t"), F.lit(10), F.col("v"), "mean")
 
 
+def test_crowded_cubes_salted_on_both_sides(spark):
+    rng = random.Random(11)
+    rows = [(i, 10 + rng.random() / 60, 20 + rng.random() / 60) for i in range(120)] + [(500, 10.001, 20.001), (501, 10.001, 20.001), (502, None, 1.0)]
+    df = spark.createDataFrame(rows, "p int, lat double, lon double")
+    plain = {tuple(r)[:2] for r in nearby.within_distance(df, "p", "lat", "lon", 500.0).collect()}
+    salted = [tuple(r)[:2] for r in nearby.within_distance(df, "p", "lat", "lon", 500.0, max_cell_rows=7).collect()]
+    assert len(salted) == len(plain) > 100 and set(salted) == plain and (500, 501) in plain
+
+
 def test_gaps_of_one_source_of_many_shards(spark):
     """Only summaries are ordered by source: the window over whole sources reads two steps a shard."""
     rng = random.Random(5)
