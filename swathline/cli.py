@@ -17,13 +17,16 @@ from swathline.operators import aggregate, convert, grids, select, stack
 from swathline.session import get_session
 
 _UNITS = {"S": 1, "T": 60, "H": 3600, "D": 86400, "W": 7 * 86400}
-#: How the variables of a swath are resampled by default.
+#: How the variables of a swath are resampled by default; others take the nearest value.
 RESAMPLE = {
-    "as_des_pass": "nn", "swath_indicator": "nn", "surface_flag": "nn", "sat_id": "nn", "time": "nn",
-    "surface_soil_moisture": "idw", "surface_soil_moisture_noise": "idw", "backscatter40": "idw", "slope40": "idw", "curvature40": "idw",
-    "surface_soil_moisture_sensitivity": "idw", "topographic_complexity": "idw", "wetland_fraction": "idw", "snow_cover_probability": "idw",
-    "frozen_soil_probability": "idw", "subsurface_scattering_probability": "idw", "correction_flag": "bitwise_or", "processing_flag": "bitwise_or",
+    "time": "nn", "as_des_pass": "nn", "swath_indicator": "nn", "surface_flag": "nn", "surface_flag_source": "nn",
+    "surface_soil_moisture": "idw", "surface_soil_moisture_noise": "idw", "surface_soil_moisture_sensitivity": "idw",
+    "backscatter40": "idw", "slope40": "idw", "curvature40": "idw", "snow_cover_probability": "idw", "frozen_soil_probability": "idw",
+    "topographic_complexity": "idw", "wetland_fraction": "idw", "subsurface_scattering_prob": "idw",
+    "correction_flag": "bitwise_or", "backscatter40_flag": "bitwise_or",
 }
+#: The same variable under its long name.
+RESAMPLE["subsurface_scattering_probability"] = RESAMPLE["subsurface_scattering_prob"]
 
 
 def step_seconds(text: str) -> int:

@@ -21,7 +21,7 @@ def write_cells(df: DataFrame, path: str, mode: str = "append", rows_per_file: i
     """One folder per cell. A cell of many rows is spread over several tasks by location and time, so that one
     crowded cell is neither one task nor one file."""
     n = df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / rows_per_file).cast("int").alias("_files")).withColumnRenamed("cell", "_c")
-    out = df.join(n, F.col("cell") == F.col("_c")).drop("_c").withColumn("_file", F.pmod(F.xxhash64(*sort), F.col("_files")))
+    out = df.join(n, F.col("cell").eqNullSafe(F.col("_c"))).drop("_c").withColumn("_file", F.pmod(F.xxhash64(*sort), F.col("_files")))
     out = out.repartition("cell", "_file").sortWithinPartitions("cell", *sort).drop("_file", "_files")
     out.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("cell").parquet(path)
 

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from swathline.operators import stack
+
 
 def files_stream(spark: SparkSession, path: str, schema, max_bytes: str | None = None, max_files: int | None = None) -> DataFrame:
     """A Parquet folder as a stream in batches of bounded bytes or files."""
@@ -28,14 +31,17 @@ def windowed_mean(df: DataFrame, time: str, key: str, value: str, step: str, lat
 def append_cells(df: DataFrame, path: str, checkpoint: str):
     """Append a stream to cell folders, as much as is there, then stop."""
     def write(batch: DataFrame, _: int) -> None:
-        batch.repartition("cell").write.mode("append").partitionBy("cell").parquet(path)
+        order = [c for c in ("location_id", "time") if c in batch.columns] or [c for c in batch.columns if c != "cell"]
+        batch = batch.persist()
+        stack.write_cells(batch, path, "append", sort=order)  # a crowded cell is several tasks'
+        batch.unpersist()
 
     return df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def drop_near_repeats(df: DataFrame, keys: list[str], time: str, window_s: int, late: str = "1 day") -> DataFrame:
     """Keep a row of a group unless it is less than ``window_s`` after the last one seen; state is one time per group."""
-    kinds = dict(df.dtypes)
+    kinds, never = dict(df.dtypes), -(2**61)
     out = ", ".join(f"`{c}` {kinds[c]}" for c in df.columns)
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -45,12 +51,12 @@ def drop_near_repeats(df: DataFrame, keys: list[str], time: str, window_s: int,
             return
         for pdf in frames:
             pdf = pdf.sort_values(time, kind="stable")
-            keep = []
-            for t in pdf[time]:
-                us = int(pd.Timestamp(t).value // 1000)
-                keep.append(last is None or us - last >= window_s * 1_000_000)
-                last = us if last is None else max(last, us)
-            yield pdf[keep]
+            us = pdf[time].to_numpy(dtype="datetime64[us]").astype(np.int64)
+            if not len(us):
+                continue
+            before = np.concatenate([[never if last is None else last], us[:-1]])
+            yield pdf[us - np.maximum(before, before[0]) >= window_s * 1_000_000]
+            last = int(max(before[0], us[-1]))
         if last is not None:
             state.update((last,))
             state.setTimeoutTimestamp(max(last // 1000, state.getCurrentWatermarkMs()) + window_s * 1000 + 1)
