@@ -73,6 +73,5 @@ g AS (
     SELECT r.*, g.kept, len(list_filter(g.kept, lambda x: abs(x - r.t) < r.w)) = 0 AS ok FROM g JOIN r ON r.k0 = g.k0 AND r.k1 = g.k1 AND r.n = g.n + 1))
 """
 SQL: dict[str, str] = {
-    "p2_decisions": _GREEDY + "SELECT k0, k1, t, w, id, accepted FROM g",
     "p2_found": _GREEDY + "SELECT id AS obs_id FROM g WHERE NOT accepted",
 }
