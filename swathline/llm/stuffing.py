@@ -157,30 +157,43 @@ class Reader:
         often = {w for w, c in single.items() if c >= TIMES and w not in FUNCTION_WORDS}
         if not often:
             return
-        said_in: dict[tuple, Counter] = {}
-        for at, ws in enumerate(words):
+        # The places of each phrase; one word longer in every round, as long as it is said often enough. A phrase that
+        # only segments hold which are turned already turns no more, nor do longer ones.
+        at: dict[str | tuple, list[tuple[int, int]]] = {}
+        for n, ws in enumerate(words):
             for i, w in enumerate(ws):
-                if w not in often:
+                if w in often:
+                    at.setdefault(w, []).append((n, i))
+        k, letters = 1, {w: len(w) for w in at}
+        while at:
+            for g, places in at.items():
+                if letters[g] >= 3:
+                    self.turn(Counter(n for n, _ in places), k, words, kinds)
+            longer: dict[str | tuple, list[tuple[int, int]]] = {}
+            sizes: dict[str | tuple, int] = {}
+            for at_g, (g, places) in enumerate(at.items()):
+                if all(kinds[n] not in "sk" for n, _ in places):
                     continue
-                for k in (1, 2, 3, 4):
-                    g = tuple(ws[i : i + k])
-                    if len(g) < k or g[-1] not in often:
-                        break
-                    if sum(map(len, g)) >= 3:
-                        said_in.setdefault(g, Counter())[at] += 1
-        often_said = [(c * len(g), g) for g, hits in said_in.items() if (c := hits.total()) >= TIMES]
-        for _, g in sorted(often_said, reverse=True):
-            hits = said_in[g]
-            run: list[int] = []
-            for i in [*sorted(hits), -1]:
-                if run and i != run[-1] + 1 or i >= 0 and kinds[i] not in "skx":
-                    said = sum(hits[j] for j in run)
-                    if said >= TIMES and said * len(g) >= PHRASE_SHARE * sum(len(words[j]) for j in run):
-                        for j in run:
-                            kinds[j] = "x"
-                    run = []
-                if i >= 0 and kinds[i] in "skx":
-                    run.append(i)
+                for n, i in places:
+                    if i + k < len(words[n]) and (w := words[n][i + k]) in often:
+                        longer.setdefault((at_g, w), []).append((n, i))
+                        sizes[at_g, w] = letters[g] + len(w)
+            at = {g: places for g, places in longer.items() if len(places) >= TIMES}
+            letters, k = sizes, k + 1
+
+    @staticmethod
+    def turn(hits: Counter, size: int, words: list[list[str]], kinds: list[str]) -> None:
+        """Turn the rows of segments that a phrase of ``size`` words, said so often in each, makes up enough of."""
+        run: list[int] = []
+        for i in [*sorted(hits), -1]:
+            if run and i != run[-1] + 1 or i >= 0 and kinds[i] not in "skx":
+                said = sum(hits[j] for j in run)
+                if said >= TIMES and said * size >= PHRASE_SHARE * sum(len(words[j]) for j in run):
+                    for j in run:
+                        kinds[j] = "x"
+                run = []
+            if i >= 0 and kinds[i] in "skx":
+                run.append(i)
 
     def read(self, text: str) -> tuple[int, int, int, dict[str, list[int]], list[str]]:
         """Words in all, firmly stitched words, links among them, open phrases with the places of their words, phrases for the corpus."""
@@ -195,12 +208,16 @@ class Reader:
         own: Counter = Counter()
         told: Counter = Counter()
         phrases: set[str] = set()
+        before: list[str] = []
         for t, w, n, k in zip(tokens, words, links, kinds, strict=True):
             if k == "s":
                 told.update(w)
+                before = []
                 continue
             phrases.update(w)
-            phrases.update(f"{a} {b}" for a, b in zip(w, w[1:]))
+            # A list may have an item a line: its phrases go on from one list-like segment to the next.
+            phrases.update(f"{a} {b}" for a, b in zip(before + w, (before + w)[1:]))
+            before = w[-1:]
             if k == "k":
                 own.update(w)
                 firm += len(t) - len(w)
@@ -225,8 +242,11 @@ class Reader:
         """The phrases that may cover words not yet stitched, with the places of these words in the page."""
         said = Counter(g for ws, k in zip(words, kinds, strict=True) if k in "sk" for g in zip(ws, ws[1:]))
         out: dict[str, list[int]] = {}
-        start = 0
+        start, last = 0, ""
         for ws, k in zip(words, kinds, strict=True):
+            if k == "k" and last and ws and (at := [start + j for j, w in ((-1, last), (0, ws[0])) if own[w] == 1]):
+                out.setdefault(f"{last} {ws[0]}", []).extend(at)
+            last = ws[-1] if k == "k" and ws else ""
             if k == "k" and dense:
                 for i, w in enumerate(ws):
                     if own[w] == 1:

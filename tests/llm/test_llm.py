@@ -255,6 +255,26 @@ def test_phrases_decide(spark):
     assert ids([(1, told, "c")]) == [] and ids([(1, told, "c"), (8, goods, "a"), (9, goods, "b")]) == [1, 8, 9]
 
 
+def test_every_window(spark):
+    """Phrases go on across the lines of a list, and selling phrases may have any length."""
+    schema = "doc_id bigint, text string, source string"
+    ids = lambda rows: sorted(r["doc_id"] for r in stuffing.stuffed_pages(spark.createDataFrame(rows, schema), "doc_id", "text", "source").collect())
+    lines = "lamp\nhinge\nvalve\npump\nscrew\ntripod\nkettle\nsaddle\nladder\nbucket"
+    assert ids([(1, lines, "a")]) == [] and ids([(1, lines, "a"), (2, "shovel\n" + lines, "b")]) == [1, 2]
+    assert ids([(1, lines, "a"), (2, "\n".join(sorted(lines.split())), "b")]) == []
+    goods = "solid oak folding garden dining table"
+    text = f"If you want it now, here is the {goods} for you and for all of us. This is where we have the {goods} that you and i need. So why not get the {goods} while it is here?"
+    assert ids([(1, text, "a")]) == [1]
+
+
+def test_long_repeats():
+    """Long runs of one word or of one passage take no longer than their length allows."""
+    reader = stuffing.Reader()
+    assert reader.read("lamp " * 20_000)[1] == 20_000
+    passage = " ".join(f"ware{i}" for i in range(300))
+    assert reader.read("\n".join([passage] * 4))[1] == 1200
+
+
 def test_greedy_arrays():
     rng = random.Random(7)
     for _ in range(200):
