@@ -184,6 +184,29 @@ def test_lookup_reads_no_history_of_other_zones(spark, monkeypatch):
     assert {r["id"] for r in decided.where("NOT accepted").collect()} == {1_000_007, 1_020_011, 1_390_000}
 
 
+def test_history_is_not_shuffled(spark, monkeypatch):
+    """However many positives a batch has, only the history rows that they match are moved."""
+    monkeypatch.setattr(dedupe, "MAX_ZONES", 100)
+    rows = lambda n, k, i: spark.range(n).select(F.lit(1).alias("k0"), (F.col("id") + k).alias("k1"), (F.col("id") * 1_000_000 + i % 7).alias("t"), F.lit(600_000_000).alias("w"), (F.col("id") + i).alias("id")).select(*[F.col(c).cast("bigint").alias(c) for c in dedupe._ROW])
+    store = dedupe.BatchStore(spark, scratch_path(spark, "still"))
+    assert store.accept(rows(300_000, 0, 0)).where("accepted").count() == 300_000
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "64k")
+    try:
+        found = store.history(rows(20_000, 0, 1_000_000).unionByName(rows(20_000, 900_000, 2_000_000)))
+        stages = spark.sparkContext._jsc.sc().statusStore()
+        jvm, none = spark._jvm, spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+        done = lambda: {s.stageId(): s.shuffleWriteRecords() for s in (lambda q: [q.apply(i) for i in range(q.size())])(stages.stageList(None, False, False, none, jvm.java.util.ArrayList()))}
+        before = done()
+        ids = {r["id"] for r in found.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert ids >= set(range(20_000)) and len(ids) < 25_000
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    assert sum(n for s, n in done().items() if s not in before) < 100_000
+    store._held.unpersist()
+
+
 @pytest.mark.parametrize("batches_per_round", [1, 2])
 def test_rows_without_batch(spark, batches_per_round):
     rows = [(*r[:5], None if r[4] % 7 == 0 else r[5]) for r in _batches(200) if r[4] < 350]
